@@ -34,6 +34,32 @@ def fit_dual(
     return w, bias
 
 
+def fit_primal(x: np.ndarray, labels: np.ndarray, cost: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Weights and bias under the squared hinge loss, by Newton steps over the examples inside the margin."""
+    sign = np.where(labels > 0, 1.0, -1.0)
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    ridge = np.ones(x.shape[1])
+    ridge[-1] = 1e-3
+
+    def loss(at: np.ndarray) -> float:
+        return float(ridge * at @ at / 2 + cost @ np.maximum(0.0, 1.0 - sign * (x @ at)) ** 2)
+
+    for _ in range(steps):
+        slack = 1.0 - sign * (x @ w)
+        inside = slack > 0
+        part, c = x[inside], cost[inside]
+        gradient = ridge * w - 2 * part.T @ (c * slack[inside] * sign[inside])
+        move = -np.linalg.solve(np.diag(ridge) + 2 * (part * c[:, None]).T @ part, gradient)
+        now, scale = loss(w), 1.0
+        while loss(w + scale * move) > now and scale > 1e-6:
+            scale /= 2
+        w = w + scale * move
+        if np.abs(scale * move).max() < 1e-6:
+            break
+    return w[:-1], float(w[-1])
+
+
 def fit_sigmoid(margins: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:
     """(a, b) so that 1 / (1 + exp(-(a * margin + b))) fits the labels, by Newton steps on smoothed targets."""
     up, down = float((labels > 0).sum()), float((labels <= 0).sum())
@@ -42,11 +68,19 @@ def fit_sigmoid(margins: np.ndarray, labels: np.ndarray, steps: int = 100) -> tu
     target = np.where(labels > 0, (up + 1) / (up + 2), 1 / (down + 2))
     x = np.column_stack([margins, np.ones(len(margins))])
     theta = np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float(np.logaddexp(0.0, z).sum() - target @ z + 1e-6 * at @ at / 2)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
         move = np.linalg.solve(hessian, x.T @ (target - p) - 1e-6 * theta)
-        theta = theta + np.clip(move, -2, 2)
+        now = loss(theta)
+        while loss(theta + move) > now and np.abs(move).max() > 1e-10:
+            move = move / 2
+        theta = theta + move
         if np.abs(move).max() < 1e-8:
             break
     return float(max(theta[0], 1e-3)), float(theta[1])
