@@ -33,36 +33,81 @@ CACHE_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
 #: Controls that str.split() takes as white space and the vocabulary's own pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Punctuation that may follow a word of letters.
+_TAIL = ".,;:!?"
 _encoders: dict = {}
 
 
 class WordEncoder:
-    """ids of a text as little-endian 32-bit bytes, by words: the vocabulary never merges across white space."""
+    """ids of a text as little-endian 32-bit bytes, by words: the vocabulary never merges across white space.
+
+    New words of letters alone are encoded many at a time, as one text, and told apart by the ids that end a word;
+    punctuation after letters is encoded apart from them, as the vocabulary's pattern does.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode_letters(self, words: list[str]) -> None:
+        """Fills in words of Latin letters alone."""
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(some) and stop[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
+                self.words.update((w, raw[x:y]) for w, x, y in zip(some, at, at[1:], strict=False))
+            else:
+                self.words.update(zip(some, self._encode(some), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        letters, parted, other = set(), [], []
+        for w in new:
+            stem = w.rstrip(_TAIL)
+            if stem.isalpha() and len(stem) < 64 and _is_latin(stem):
+                letters.add(stem)
+                if len(stem) < len(w):
+                    parted.append((w, stem, w[len(stem) :]))
+            else:
+                other.append(w)
+        self._encode_letters(list(letters.difference(self.words)))
+        tails = list({t for _, _, t in parted}.difference(self.words))
+        other += tails
+        self.words.update(zip(other, self._encode(other), strict=True))
+        self.words.update((w, self.words[stem] + self.words[tail]) for w, stem, tail in parted)
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 256):
-            some = texts[i : i + 256]
+            some = [t.lower() if _is_latin(t) else t for t in texts[i : i + 256]]
             split = [None if _ODD.search(t) else t.split() for t in some]
             if len(self.words) > CACHE_WORDS:
                 self.words.clear()
-            new = list({w for words in split if words for w in words}.difference(self.words))
-            self.words.update(zip(new, self._encode(new), strict=True))
+            self._learn({w for words in split if words for w in words}.difference(self.words))
             get = self.words.__getitem__
             for text, words in zip(some, split, strict=True):
                 yield self._encode([text])[0] if words is None else b"".join(map(get, words))
 
 
+def _is_latin(text: str) -> bool:
+    """Latin-1 only: lower-casing and normalisation are then the same here as in the vocabulary's library."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
