@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bin_slack, exact_dedup, minhash_fss, pfair, quality_nbsvm
-from tessera.llm.common import table
+from tessera.llm import (
+    bin_slack,
+    embed_lsh,
+    exact_dedup,
+    lm_lattice,
+    minhash_fss,
+    pfair,
+    quality_nbsvm,
+    token_counts,
+    toxicity_ssk,
+)
+from tessera.llm.common import id_crc, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -16,10 +26,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity_ssk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_ssk.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_lattice.score(docs, id_crc() % 7 != 2, tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_lsh.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.schedule(table(spark, sf_dir, "documents"))
 
@@ -32,15 +55,26 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.section_tokens(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_fss.near_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_ssk": op1_toxicity_ssk,
+    "op2_lattice_lm": op2_lattice_lm,
     "op3_quality_nbsvm": op3_quality_nbsvm,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_section_tokens": op9_section_tokens,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
