@@ -4,10 +4,11 @@ Sketch: in round i every shingle is hashed to one bin and a value; a bin takes t
 that reaches it. Rounds go on until every coordinate is filled, and after as many rounds as coordinates each further
 round fills one bin from all shingles, so filling is certain and coordinates agree with the concentration of full
 MinHash. Rows with the same shingle set collapse to one representative first. Bands of coordinates bring
-representatives into buckets; buckets of few members give their pairs, a large bucket gives links to one centre, and
-what those links leave apart is split again by a second band, then compared in full. Every candidate pair passes a
-sketch estimate set seven standard errors below the threshold and is then confirmed on the whole sets of both texts.
-Components of confirmed links follow by distributed label propagation.
+representatives into buckets. Every representative is tested against the centre of one bucket, the one that meets most
+others, then against the centres of the buckets that these links leave apart; what is then still apart is compared group
+by group, each member outside the largest component with all of it, in blocks of bounded size that give one link per
+component and never a row per pair. Single tests pass a sketch estimate set seven standard errors below the threshold
+first; every link is confirmed on the whole sets of both texts. Components follow by distributed label propagation.
 
 With 32 bands of 4 coordinates a pair at the threshold of 0.75 is missed with probability 5e-6.
 
@@ -33,7 +34,7 @@ from tessera.llm.components import connected_components
 WORDS = 5
 THRESHOLD = 75  # hundredths
 COORDINATES, ROWS = 128, 4
-SMALL = 12
+LEFT_BLOCK, RIGHT_BLOCK = 64, 256
 CACHE = 500_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -150,75 +151,126 @@ def _confirmed(threshold: int):
     return run
 
 
-def _members(bands: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Rows (key, id, c) of buckets whose members lie in more than one component, with the bucket's n and least id."""
-    rows = bands.withColumn("c", F.col("id")) if comp is None else bands.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    apart = buckets.where("n > 1 and c0 <> c1").select("key", "n", "least")
-    return materialise(rows.join(apart, "key"), "buckets")
+def _links_of_blocks(threshold: int):
+    """Links between two blocks of one group by one product of incidence matrices: per left document, one for each component."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            x = [shingles(t) for t in left.column("text").to_pylist()]
+            y = [shingles(t) for t in right.column("text2").to_pylist()]
+            xi, yi = left.column("id").to_numpy(), right.column("id2").to_numpy()
+            xc, yc = left.column("c").to_numpy(), right.column("c2").to_numpy()
+            nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+            both = np.zeros((len(x), len(y)), np.float32)
+            every = np.unique(np.concatenate(x))
+            step = 4096
+            for at in range(0, len(every), step):  # columns by blocks, so memory stays bounded
+                some = every[at : at + step]
+                both += _incidence(x, some) @ _incidence(y, some).T
+            union = nx[:, None] + ny[None, :] - both
+            linked = (100 * both >= threshold * union) & (xc[:, None] != yc[None, :])
+            for i in np.flatnonzero(linked.any(axis=1)):
+                hits = np.flatnonzero(linked[i])
+                _, first = np.unique(yc[hits], return_index=True)
+                found += [(int(xi[i]), int(yi[j])) for j in hits[first]]
+        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
+    return run
+
+
+def _incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for row, items in enumerate(sets):
+        part = items[np.searchsorted(items, columns[0]) : np.searchsorted(items, columns[-1], side="right")]
+        at = np.searchsorted(columns, part)
+        out[row, at[columns[at] == part]] = 1.0
+    return out
 
-def _star_or_small(members: DataFrame) -> DataFrame:
-    """All pairs of buckets of at most SMALL members; pairs with the least member of larger ones."""
-    few = members.where(F.col("n") <= SMALL).select("key", "id", "c")
-    other = few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    pairs = few.join(other, "key").where("id < b and c <> cb").select(F.col("id").alias("a"), "b")
-    star = members.where((F.col("n") > SMALL) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    return pairs.unionByName(star).distinct()
 
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def _rest(members: DataFrame) -> DataFrame:
-    """Pairs across components of buckets that stars and a second band left apart: those outside the bucket's largest component against all."""
-    sizes = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    rows = members.join(largest, "key").select("key", "id", "c", (F.col("c") != F.col("main")).alias("out"))
-    left = rows.where("out").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    met = left.join(rows, "key").where("c <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    return met.distinct()
 
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, n, centre, c) of the buckets whose members lie in more than one component."""
+    mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    return materialise(rows.join(mixed, "key"), "apart")
+
+
+def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
-    sk = reps.select("id", "sketch")
-    met = pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = materialise(met.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold), "a long, b long"), "likely")
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    with_b = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    links = materialise(with_a.select("a", "b", "ta", "tb").mapInArrow(_confirmed(threshold), "a long, b long"), "links")
-    discard(likely)
-    discard(texts)
-    return links
+    met = pairs.join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    likely = met.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold), "a long, b long")
+    with_b = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    return materialise(with_a.select("a", "b", "ta", "tb").mapInArrow(_confirmed(threshold), "a long, b long"), "links")
+
+
+def _block_links(rows: DataFrame, comp: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links that single tests left open. Each bucket has a main component, the largest; every member outside it meets
+    all of that component and all that stand beside it, block by block."""
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "c")
+    sized = rows.join(sizes, "c", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    main = sized.groupBy("key").agg(F.max_by("c", F.struct(F.col("size"), -F.col("c"))).alias("main"))
+    out = materialise(rows.join(main, "key").where("c <> main").select("main", "id", "c").distinct(), "outside")
+    mains = out.select("main").distinct()
+    inside = comp.join(mains, comp["component"] == mains["main"]).select("main", "id", F.col("component").alias("c"))
+    alone = mains.join(comp.select(F.col("component").alias("main")).distinct(), "main", "left_anti").select("main", F.col("main").alias("id"), F.col("main").alias("c"))
+    right = out.unionByName(inside).unionByName(alone)
+    counts = out.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / LEFT_BLOCK).cast("int").alias("nl")).join(
+        right.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / RIGHT_BLOCK).cast("int").alias("nr")), "main"
+    )
+    spread = F.xxhash64("id")
+    text = texts.select("id", "text")
+    lefts = out.join(counts, "main").select("main", "id", "c", F.pmod(spread, "nl").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r")).join(text, "id")
+    rights = right.join(counts, "main").select("main", "id", "c", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), F.pmod(spread, "nr").cast("int").alias("r")).join(text, "id")
+    # new names, as both sides stem from the same tables
+    other = rights.select(*[F.col(c).alias(f"{c}2") for c in ("main", "l", "r", "id", "c", "text")])
+    return materialise(lefts.groupBy("main", "l", "r").cogroup(other.groupBy("main2", "l2", "r2")).applyInArrow(_links_of_blocks(threshold), "a long, b long"), "links")
 
 
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; threshold in hundredths."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = rows.where("doc_id is not null")
     sketched = materialise(rows.mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"), "sketches")
-    classes = sketched.where("sketch is not null and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("id"))
-    reps = materialise(classes.groupBy("id").agg(F.first("sketch").alias("sketch")), "classes")
+    known = sketched.where("sketch is not null and doc_id is not null")
+    classes = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"))
+    reps = materialise(classes.dropDuplicates(["id"]), "classes")
+    # rows of one class, and rows that repeat an id with another text, hang together before any comparison
+    same = known.select("doc_id", "d1", "d2", "n_shingles").join(classes.select("d1", "d2", "n_shingles", "id"), ["d1", "d2", "n_shingles"])
+    named = materialise(same.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
+
     bands = reps.select("id", "sketch").mapInArrow(_bands, "key long, id long")
-    members = _members(bands, None)
-    links = _verify(_star_or_small(members), reps, known, threshold)
-    # what the centres of large buckets leave apart: split by a second band
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(bands.join(shared, "key"), "buckets")
+    fame = met.groupBy("id").agg(F.sum("n").alias("fame"))
+    famed = met.join(fame, "id")
+    centres = famed.groupBy("key").agg(F.max_by("id", F.struct(F.col("fame"), -F.col("id"))).alias("centre"), F.max("fame").alias("best"))
+    members = materialise(famed.join(centres, "key").select("key", "id", "n", "centre", "best"), "members")
+    texts = materialise(
+        rows.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts"
+    )
+    discard(met)
+
+    # one test for every document: the centre of the bucket whose centre meets most others
+    nearest = members.where("id <> centre").groupBy("id").agg(F.max_by("centre", F.struct(F.col("best"), -F.col("centre"))).alias("centre"))
+    first = _verify(_pairs(nearest.select(F.col("id").alias("a"), F.col("centre").alias("b"))), reps, texts, threshold)
+    comp = connected_components(first)
+    # then the centres of all buckets that this leaves apart
+    left = _apart(_labelled(members.select("key", "id", "n", "centre"), comp))
+    second = _verify(_pairs(left.select(F.col("centre").alias("a"), F.col("id").alias("b"))), reps, texts, threshold)
+    links = first.unionByName(second)
     comp = connected_components(links)
-    large = _members(members.where(F.col("n") > SMALL).select("key", "id"), comp)
-    inside = large.select("key", "id").join(bands.select(F.col("key").alias("key2"), "id"), "id").where("key <> key2")
-    split = _members(inside.select(F.xxhash64("key", "key2").alias("key"), "id"), comp)
-    more = _verify(_star_or_small(split), reps, known, threshold)
-    links2 = materialise(links.unionByName(more), "links")
-    comp2 = connected_components(links2)
-    rest = _members(split.where(F.col("n") > SMALL).select("key", "id"), comp2)
-    last = _verify(_rest(rest), reps, known, threshold)
-    links3 = links2.unionByName(last)
-    # rows of one class share its representative; ids that repeat with other texts join their classes
-    member = sketched.where("sketch is not null and doc_id is not null").select("doc_id", "d1", "d2", "n_shingles")
-    keyed = member.join(member.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id")), ["d1", "d2", "n_shingles"]).select("doc_id", "id")
-    named = keyed.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    final = connected_components(links3.unionByName(named))
-    for old in (members, large, split, rest):
+    # then whole groups, for what is still apart; a bucket of two has had its one test
+    rest = _apart(_labelled(left.where("n > 2").select("key", "id", "n", "centre"), comp))
+    last = _block_links(rest, comp, texts, threshold)
+    final = connected_components(links.unionByName(last).unionByName(named))
+    for old in (members, left, rest, texts):
         discard(old)
     out = sketched.select("doc_id", "n_shingles").join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
