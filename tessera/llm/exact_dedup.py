@@ -11,28 +11,32 @@ bounded bitmap fills up, more rows take the exact path; results are the same at
 Defined cases: a null text counts as empty; equal texts are those identical after lower-casing A-Z only; an empty table
 gives an empty result; of equal texts the largest id stays; rows with a null id count in ``group_size`` and are kept
 only when every row of the group lacks an id; rows that repeat the kept id are all marked kept (``deduplicate`` leaves
-one of them). Extra columns are ignored by ``exact_groups`` and carried by ``deduplicate``, whatever their names.
+one of them, any, as they are equal in id and text). Extra columns are ignored by ``exact_groups`` and carried by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, materialise
 
 SEGMENT_BITS = 32768
 MAX_FILTER_BITS = 1 << 26
+SALTS = 16
 
 
-def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    normal = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normal, 256).alias("text_sha256"))
+def _digested(docs: DataFrame, digest: Column, id_col: str, carried: list) -> DataFrame:
+    out = docs.select(*carried, F.col(id_col).alias("doc_id"), digest.alias("text_sha256"))
     return out.withColumn("_h", F.xxhash64("text_sha256"))
 
 
+def normal_digest(text_col: str) -> Column:
+    return F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+
+
 def repeated_filter(rows: DataFrame, n_rows: int, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """Pass one: (segment, bits) of the Bloom bitmap over cells that at least two rows of ``rows._h`` hit."""
     cells = 1 << max(16, math.ceil(math.log2(max(n_rows, 1) * 64)))
@@ -48,10 +52,9 @@ def filter_bits(n_rows: int, max_filter_bits: int = MAX_FILTER_BITS) -> int:
     return min(max_filter_bits, 1 << max(15, math.ceil(math.log2(max(n_rows, 1) * 16))))
 
 
-def _probed(rows: DataFrame, n_rows: int, max_filter_bits: int) -> DataFrame:
+def _probed(rows: DataFrame, bloom: DataFrame, n_rows: int, max_filter_bits: int) -> DataFrame:
     """Pass two: rows with ``_maybe``, false only where no other row can be equal."""
     bits = filter_bits(n_rows, max_filter_bits)
-    bloom = repeated_filter(rows, n_rows, max_filter_bits)
     bit = F.col("_h").bitwiseAND(F.lit(bits - 1))
     placed = rows.withColumn("_segment", F.floor(bit / SEGMENT_BITS)).withColumn("_at", (bit % SEGMENT_BITS).cast("int"))
     # at most max_filter_bits / 8 bytes: a proven bound, so the bitmap may be broadcast
@@ -61,49 +64,44 @@ def _probed(rows: DataFrame, n_rows: int, max_filter_bits: int) -> DataFrame:
     return (
         joined.withColumn("_byte", byte)
         .withColumn("_maybe", F.coalesce(is_set, F.lit(False)))
-        .select("doc_id", "text_sha256", "_maybe")
+        .drop("_segment", "_at", "_bits", "_byte", "_h")
     )
 
 
+def _grouped(maybe: DataFrame) -> DataFrame:
+    """Possibly repeated rows with keep_id and group_size. Groups are pre-aggregated, then met by salted rows."""
+    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = maybe.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["text_sha256", "_salt"]).drop("_salt")
+
+
+def split_by_digest(docs: DataFrame, digest: Column, id_col: str, max_filter_bits: int, carried: list) -> tuple[DataFrame, DataFrame]:
+    """(rows without an equal, possibly repeated rows), both with carried columns, doc_id and text_sha256."""
+    n_rows = docs.count()
+    bloom = materialise(repeated_filter(_digested(docs, digest, id_col, []), n_rows, max_filter_bits), "bloom")
+    probed = _probed(_digested(docs, digest, id_col, carried), bloom, n_rows, max_filter_bits)
+    return probed.where(~F.col("_maybe")).drop("_maybe"), probed.where("_maybe").drop("_maybe")
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = MAX_FILTER_BITS
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    n_rows = docs.count()
-    probed = _probed(_digested(docs, id_col, text_col), n_rows, max_filter_bits)
-    single = probed.where(~F.col("_maybe")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
-    )
-    maybe = probed.where("_maybe").select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    grouped = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
-    return single.unionByName(grouped).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    single, maybe = split_by_digest(docs, normal_digest(text_col), id_col, max_filter_bits, [])
+    alone = single.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return alone.unionByName(_grouped(maybe)).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that an equal text with a larger id replaces; all columns stay.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """docs with one row of each group of equal texts, the largest id's, and all columns.
 
-    The decision travels as ids: a left-anti join on (id, digest) of dropped rows. Rows that repeat an id and a text
-    leave one.
+    Rows without an equal pass straight through, text and all; only possibly repeated rows shuffle.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    normal = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    names = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.sha2(normal, 256).alias("_sha"))
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gid"), F.col("text_sha256").alias("_gsha")).distinct()
-    left = marked.join(dropped, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha")), "left_anti")
-    again = (
-        groups.where("kept and group_size > 1")
-        .groupBy("doc_id", "text_sha256")
-        .count()
-        .where("count > 1")
-        .select(F.col("doc_id").alias("_gid"), F.col("text_sha256").alias("_gsha"))
-    )
-    same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha"))
-    once = left.join(again, same, "left_anti").select("_row")
-    more = left.join(again, same, "left_semi").groupBy(F.col("_id"), F.col("_sha")).agg(F.first("_row").alias("_row")).select("_row")
-    return once.unionByName(more).select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    single, maybe = split_by_digest(docs, normal_digest(text_col), id_col, max_filter_bits, [row])
+    kept = _grouped(maybe).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    once = kept.dropDuplicates(["text_sha256"])
+    rows = single.select("_row").unionByName(once.select("_row"))
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
