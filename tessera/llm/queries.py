@@ -14,6 +14,7 @@ from tessera.llm import (
     minhash_fss,
     pfair,
     quality_nbsvm,
+    suffix_dedup,
     token_counts,
     toxicity_ssk,
 )
@@ -55,6 +56,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_section_tokens": op9_section_tokens,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
