@@ -242,6 +242,8 @@ def coerce(value: object, f: Field, json_values: bool = False) -> object:
             return _local(dt.datetime.fromisoformat(value), f.zone)
         if f.kind == "binary":
             return _bytes(value)
+    except DecodeError:
+        raise
     except ValueError:
         pass
     raise DecodeError(f"{f.kind.upper()}_INVALID")
