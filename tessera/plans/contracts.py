@@ -41,7 +41,8 @@ def schema_of(odcs: dict) -> StructType:
         kind = p.get("physicalType") or names.get(p.get("logicalType", "string"))
         if kind is None:
             raise ValueError(f"{p['name']}: unknown type")
-        out.add(p["name"], kind, not p.get("required", False))
+        (column,) = StructType.fromDDL(f"`{p['name']}` {kind}").fields
+        out.add(p["name"], column.dataType, not p.get("required", False))
     return out
 
 
