@@ -316,7 +316,10 @@ def q52(spark, d):
 
 # -- vault
 
-LOADED = F.lit("2002-01-01 00:00:00").cast("timestamp")
+
+def loaded() -> Column:
+    return F.lit("2002-01-01 00:00:00").cast("timestamp")
+
 
 
 def hashed(*columns: str) -> str:
@@ -327,15 +330,15 @@ def hashed(*columns: str) -> str:
     select {hashed("c_custkey")} as hub_customer_hk, c_custkey, case when c_custkey in (select o_custkey from orders) then 'a_orders' else 'b_customer' end as record_source from customer
     union select {hashed("o_custkey")}, o_custkey, 'a_orders' from orders where o_custkey not in (select c_custkey from customer)""")
 def q12(spark, d):
-    a = vault.stage(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), {"hub_customer_hk": ["c_custkey"]}, None, "a_orders", LOADED)
-    b = vault.stage(t(spark, d, "customer").select("c_custkey"), {"hub_customer_hk": ["c_custkey"]}, None, "b_customer", LOADED)
+    a = vault.stage(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), {"hub_customer_hk": ["c_custkey"]}, None, "a_orders", loaded())
+    b = vault.stage(t(spark, d, "customer").select("c_custkey"), {"hub_customer_hk": ["c_custkey"]}, None, "b_customer", loaded())
     return vault.load_hub([a, b], "hub_customer_hk", ["c_custkey"]).select("hub_customer_hk", "c_custkey", "record_source")
 
 
 @query("q13_link_load", f"""
     select distinct {hashed("l_orderkey", "l_partkey")} as link_hk, {hashed("l_orderkey")} as hub_order_hk, {hashed("l_partkey")} as hub_part_hk from lineitem""")
 def q13(spark, d):
-    rows = vault.stage(t(spark, d, "lineitem").select("l_orderkey", "l_partkey"), {"link_hk": ["l_orderkey", "l_partkey"], "hub_order_hk": ["l_orderkey"], "hub_part_hk": ["l_partkey"]}, None, "lineitem", LOADED)
+    rows = vault.stage(t(spark, d, "lineitem").select("l_orderkey", "l_partkey"), {"link_hk": ["l_orderkey", "l_partkey"], "hub_order_hk": ["l_orderkey"], "hub_part_hk": ["l_partkey"]}, None, "lineitem", loaded())
     return vault.load_link([rows], "link_hk", ["hub_order_hk", "hub_part_hk"]).select("link_hk", "hub_order_hk", "hub_part_hk")
 
 
@@ -344,7 +347,7 @@ STATES = "select o_custkey, o_orderstatus as status, o_orderpriority as priority
 
 def satellite_stage(spark, d, where="true"):
     rows = derived(spark, d, STATES + f" where {where}")
-    return vault.stage(rows, {"hub_customer_hk": ["o_custkey"]}, vault.payload(["status", "priority"], ["priority"]), "orders", LOADED)
+    return vault.stage(rows, {"hub_customer_hk": ["o_custkey"]}, vault.payload(["status", "priority"], ["priority"]), "orders", loaded())
 
 
 VERSIONS = "v as (select *, lag(status) over (partition by o_custkey order by effective) as prior from ({0}))"
@@ -373,7 +376,7 @@ SATS = {
 
 
 def golden(spark, d, strategy):
-    sats = {n: derived(spark, d, s).withColumn("load_datetime", LOADED) for n, s in SATS.items()}
+    sats = {n: derived(spark, d, s).withColumn("load_datetime", loaded()) for n, s in SATS.items()}
     hub = t(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     rules = [survivorship.Rule("name", strategy, ["crm", "shop"]), survivorship.Rule("segment", strategy, ["crm", "shop"])]
     return survivorship.golden_record(hub, sats, rules, "k").select("k", "name", "name__source", "segment", "segment__source")
