@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
 #: Controls that str.split() takes as white space and the vocabulary's own pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -53,6 +53,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.path = path
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -91,8 +92,7 @@ class WordEncoder:
         for i in range(0, len(texts), 256):
             some = [t.lower() if _is_latin(t) else t for t in texts[i : i + 256]]
             split = [None if _ODD.search(t) else t.split() for t in some]
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
+            self.words = worker_cache(f"word ids {self.path}", CACHE_WORDS)
             self._learn({w for words in split if words for w in words}.difference(self.words))
             get = self.words.__getitem__
             for text, words in zip(some, split, strict=True):

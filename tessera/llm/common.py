@@ -61,3 +61,17 @@ def ascii_lower(column: Column) -> Column:
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(
         F.translate(column, ASCII_UPPER, ASCII_LOWER)
     )
+
+
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str, limit: int) -> dict:
+    """A dictionary that a Python worker keeps between tasks, emptied at its limit. A worker holds one at a time: asking
+    for one empties those of other names, as workers outlive the operator they first served."""
+    for other in [n for n in _caches if n != name]:
+        _caches.pop(other).clear()
+    cache = _caches.setdefault(name, {})
+    if len(cache) > limit:
+        cache.clear()
+    return cache

@@ -28,18 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise
+from tessera.llm.common import discard, materialise, worker_cache
 from tessera.llm.components import connected_components
 
 WORDS = 5
 THRESHOLD = 75  # hundredths
 COORDINATES, ROWS = 128, 4
 LEFT_BLOCK, RIGHT_BLOCK = 64, 256
-CACHE = 500_000
+CACHE = 300_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SEEDS = np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * _ODD[0]
-_words: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,11 +52,10 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > CACHE:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = worker_cache("word hashes", CACHE)
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(h) < n:
         return mix(np.array([(h * _ODD[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64))
     out = np.zeros(len(h) - n + 1, np.uint64)

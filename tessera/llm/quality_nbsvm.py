@@ -27,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_crc
+from tessera.llm.common import id_crc, worker_cache
 from tessera.llm.linear_svm import fit_dual, fit_sigmoid, sigmoid
 
 BUCKETS = 1 << 18
 MAX_LABELLED = 20_000
-CACHE = 400_000
+CACHE = 300_000
 _RUN = re.compile(r"a+|A+|0+|(.)\1{2,}")
-_forms: dict[str, str] = {}
 _slots: dict[tuple, int] = {}
 
 
@@ -61,13 +60,12 @@ def features(text: str) -> np.ndarray:
     words = text.split()
     if not words:
         return np.zeros(0, np.int32)
-    if len(_forms) > CACHE:
-        _forms.clear()
+    known = worker_cache("word forms", CACHE)
     if len(_slots) > CACHE:
         _slots.clear()
-    for w in set(words).difference(_forms):
-        _forms[w] = word_form(w)
-    forms = list(map(_forms.__getitem__, words))
+    for w in set(words).difference(known):
+        known[w] = word_form(w)
+    forms = list(map(known.__getitem__, words))
     forms = [f + "=" if w == v else f for f, w, v in zip(forms, words, ["", *words], strict=False)]
     grams: set[tuple] = set(zip(forms)) | set(zip(forms, forms[1:])) | set(zip(forms, forms[1:], forms[2:]))  # noqa: B905
     lines = [x for x in text.split("\n") if x.strip()]
