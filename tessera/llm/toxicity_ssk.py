@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, id_crc, materialise
+from tessera.llm.common import discard, id_crc, materialise, worker_cache
 from tessera.llm.linear_svm import fit_primal, fit_sigmoid, sigmoid
 from tessera.llm.quality_nbsvm import labelled_sample
 
@@ -40,11 +40,12 @@ MAX_UNITS = 12_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 300, 150
 DECAY = 0.5
 LONGEST = 24
-CACHE = 500_000
+CACHE = 400_000
 ROUNDS = 3
-COST = 5.0
-TOP = 6  # units of each labelled document that a round looks at
+COST = 2.0
+TOP = 4  # units of each labelled document that a round looks at
 STEMS = (5, 6)
+PRECISE = 0.8  # and if so many of the documents that hold it are toxic
 SURE = 4.0  # a unit tells the classes apart if its log-likelihood gain beats chance among all units by this much
 _JUNK = re.compile(r"[\W_]+")
 _SHORT = re.compile(r"(?<!\S)\S{1,2}(?:[^\S\n]+\S{1,2}(?!\S))+")
@@ -184,20 +185,13 @@ def constant(share: float) -> Model:
     return Model(np.array([97], np.int32), np.zeros(8), 0.0, 1.0, float(np.log(share / (1 - share))))
 
 
-_known: dict[int, dict[str, float]] = {}
-
-
 def strongest(model: Model, texts: list[str | None], top: int = 1) -> list[list[tuple[float, str]]]:
     """The top (margin, unit) of each text, strongest first; one entry of the floor for a text without units."""
     stamp = zlib.crc32(model.table.tobytes())
-    if stamp not in _known:
-        _known.clear()
-    known = _known.setdefault(stamp, {})
     out = []
     for i in range(0, len(texts), 128):
         found = [units_of(t or "") for t in texts[i : i + 128]]
-        if len(known) > CACHE:
-            known.clear()
+        known = worker_cache(f"margins {stamp}", CACHE)
         new = list(set().union(*found).difference(known))
         known.update(zip(new, model.margins(new).tolist(), strict=True))
         for units in found:
@@ -253,7 +247,7 @@ def _best(model: Model, top: int):
         for b in batches:
             found = strongest(model, b.column("text").to_pylist(), top)
             best = pa.array([x[0][0] for x in found], pa.float64())
-            units = pa.array([[u for m, u in x if u and m > -0.5] for x in found], pa.list_(pa.string()))
+            units = pa.array([[u for m, u in x if u and m > 0] for x in found], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column("label"), best, units], names=["label", "margin", "units"])
 
     return run
@@ -282,7 +276,7 @@ def fit(
     gain = t * F.log((t + 0.01) / n / share) + c * F.log((c + 0.01) / n / (1 - share))
     least = float(np.log(max(2, counted.count())) + SURE)
     half = max_units // 2
-    told = counted.withColumn("g", gain).where((t / n > share) & (F.col("g") > least)).orderBy(F.desc("g"), "unit", "stem").limit(half).collect()
+    told = counted.withColumn("g", gain).where((t / n >= PRECISE) & (F.col("g") > least)).orderBy(F.desc("g"), "unit", "stem").limit(half).collect()
     plain = counted.where("not stem and t <= c").orderBy(F.desc("c"), "unit").limit(half // 2).collect()
     plain += counted.where("not stem and t = 0").orderBy(F.xxhash64("unit"), "unit").limit(half // 2).collect()
     if not told or not plain:
@@ -290,8 +284,8 @@ def fit(
     weight = {r["unit"]: float(r["t"]) for r in told}
     toxic = list(weight)
     stems = [r["unit"] for r in told if r["stem"]]
-    longer = counted.where("not stem and c = 0").where(F.substring("unit", 1, STEMS[0]).isin(stems) | F.substring("unit", 1, STEMS[1]).isin(stems))
-    weight.update((r["unit"], float(r["t"])) for r in longer.orderBy(F.desc("t"), "unit").limit(half).collect() if r["unit"] not in weight)
+    longer = counted.where("not stem and c = 0 and t >= 2").where(F.substring("unit", 1, STEMS[0]).isin(stems) | F.substring("unit", 1, STEMS[1]).isin(stems))
+    weight.update((r["unit"], float(r["t"])) for r in longer.orderBy(F.desc("t"), "unit").limit(half // 4).collect() if r["unit"] not in weight)
     against = {r["unit"]: float(r["c"]) for r in plain}
     clean = list(against)
     discard(counted)
@@ -303,7 +297,7 @@ def fit(
         negatives = sorted(against)
         units = positives + [g for g, _ in copies] + negatives
         y = np.array([1] * (len(units) - len(negatives)) + [0] * len(negatives))
-        seen = np.log1p([weight[u] for u in positives] + [w / 4 for _, w in copies] + [against[u] for u in negatives])
+        seen = np.minimum([weight[u] for u in positives] + [w / 16 for _, w in copies] + [against[u] for u in negatives], 400.0) ** 0.75
         cost = COST * seen * np.where(y > 0, seen[y == 0].sum() / seen[y > 0].sum(), 1.0)
         model = _solve(landmarks, units, y, cost)
         found = rows.mapInArrow(_best(model, TOP), "label int, margin double, units array<string>").collect()
@@ -312,7 +306,7 @@ def fit(
                 for u in r["units"]:
                     against[u] = against.get(u, 0.0) + 1.0
         for r in found:
-            if r["label"] == 1 and r["units"] and r["margin"] > 0 and (u := r["units"][0]) not in against:
+            if r["label"] == 1 and r["units"] and r["margin"] > 1 and (u := r["units"][0]) not in against:
                 weight.setdefault(u, 1.0)
     margins, y = np.array([r["margin"] for r in found]), np.array([r["label"] for r in found])
     model.slope, model.shift = fit_sigmoid(margins, y)
