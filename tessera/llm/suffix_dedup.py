@@ -34,6 +34,8 @@ LENGTH, GRAM = 100, 32
 ANCHORS_PER_PART = 400_000
 REGIONS_PER_PART = 20_000
 _END = 511
+_BLOCK = 1 << 20
+_PLACE = np.uint64((1 << 24) - 1)
 _B = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -47,11 +49,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first window, last window) of each anchor, in order; gram is a power of two.
 
-    A window's anchor is the leftmost of the smallest hashes, so runs of windows share one.
+    A window's anchor is the leftmost of the smallest hashes (by their upper bits), so runs of windows share one. Long
+    texts are taken by blocks of windows.
     """
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
+    parts = [_block_anchors(data[i : i + _BLOCK + length - 1], i, length, gram) for i in range(0, max(0, len(data) - length + 1), _BLOCK)]
+    if not parts:
+        none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _block_anchors(data: np.ndarray, begin: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h, n, power = data.astype(np.uint64) + np.uint64(1), 1, _B
     while n < gram:
         h = h[:-n] * np.uint64(power) + h[n:]
@@ -59,33 +67,15 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         n *= 2
     h = _mix(h)
     width = length - gram + 1
-    low, n = h, 1
+    low, n = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), 1
     while n * 2 <= width:
         low = np.minimum(low[:-n], low[n:])
         n *= 2
     if width > n:
         low = np.minimum(low[: len(low) - (width - n)], low[width - n :])
-    # where the minimum changes, or the gram that held it has left the window, another anchor begins
-    places = np.flatnonzero(h[: len(low) + width - 1] == _widest(low, width, len(h)))
-    first = np.searchsorted(places, np.arange(len(low)))
-    at = places[np.minimum(first, len(places) - 1)]
-    wrong = np.flatnonzero((at >= np.arange(len(low)) + width) | (h[np.minimum(at, len(h) - 1)] != low))
-    for i in wrong:  # a larger neighbour's minimum stands in between
-        at[i] = i + int(np.argmin(h[i : i + width]))
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return low[start], at[start], start, np.r_[start[1:], len(low)] - 1
-
-
-def _widest(low: np.ndarray, width: int, size: int) -> np.ndarray:
-    """For each gram, the largest minimum among the windows that hold it: a gram is some window's anchor only if it equals it."""
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    top, n = padded, 1
-    while n * 2 <= width:
-        top = np.maximum(top[:-n], top[n:])
-        n *= 2
-    if width > n:
-        top = np.maximum(top[: len(top) - (width - n)], top[width - n :])
-    return top[:size]
+    start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    at = (low[start] & _PLACE).astype(np.int64)
+    return h[at], at + begin, start + begin, np.r_[start[1:], len(low)] - 1 + begin
 
 
 def _pack(*arrays: np.ndarray) -> list[bytes]:
@@ -176,7 +166,21 @@ def _emit_regions(parts: int, length: int, gram: int):
     return run
 
 
-def sort_suffixes(codes: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+def _words(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Seven codes of nine bits from every position on, as one number; past the end, the end."""
+    padded = np.concatenate([codes.astype(np.uint64), np.full(depth + 16, _END, np.uint64)])
+    word = np.zeros(len(codes) + depth + 9, np.uint64)
+    for i in range(7):
+        word = (word << np.uint64(9)) | padded[i : i + len(word)]
+    return word
+
+
+def _next(marked: np.ndarray) -> np.ndarray:
+    """The first marked place from every place on."""
+    return np.minimum.accumulate(np.where(marked, np.arange(len(marked)), len(marked))[::-1])[::-1]
+
+
+def sort_suffixes(codes: np.ndarray, wanted: np.ndarray, depth: int, word: np.ndarray | None = None) -> np.ndarray:
     """Wanted positions of codes (0 ends a region, the end is above all codes) in the order of their suffixes, exact to depth.
 
     Two stages. A suffix is of the first kind if it is smaller than its successor; these are sorted directly. Scanning
@@ -185,25 +189,13 @@ def sort_suffixes(codes: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarr
     next of the first kind are sorted too, as the scan starts from those.
     """
     size = len(codes)
+    word = _words(codes, depth) if word is None else word
     step = np.sign(np.diff(codes.astype(np.int32), append=_END))
-    moves = np.flatnonzero(step)
-    upward = step[moves[np.searchsorted(moves, np.arange(size))]] > 0
-    needed = np.zeros(size, bool)
-    needed[wanted] = True
-    firsts = np.flatnonzero(upward)
+    upward = step[_next(step != 0)] > 0
     # from every wanted position up to the first upward one
-    stop = np.full(len(wanted), size - 1, np.int64)
-    at = np.searchsorted(firsts, wanted)
-    stop[at < len(firsts)] = firsts[at[at < len(firsts)]]
-    cover = np.zeros(size + 1, np.int32)
-    np.add.at(cover, wanted, 1)
-    np.add.at(cover, stop + 1, -1)
-    needed |= np.cumsum(cover[:-1]) > 0
-
-    padded = np.concatenate([codes.astype(np.uint64), np.full(depth + 16, _END, np.uint64)])
-    word = np.zeros(size + depth + 9, np.uint64)
-    for i in range(7):  # codes take nine bits
-        word = (word << np.uint64(9)) | padded[i : i + len(word)]
+    stop = _next(upward)[wanted]
+    cover = np.bincount(wanted, minlength=size + 1) - np.bincount(stop + 1, minlength=size + 1)
+    needed = np.cumsum(cover[:-1]) > 0
     direct = np.flatnonzero(needed & upward)
     order = _sort_by_words(direct, word, -(-depth // 7))
     induced = needed & ~upward
@@ -237,28 +229,33 @@ def sort_suffixes(codes: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarr
 
 
 def _sort_by_words(at: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
-    """Positions by words of seven codes each, ties refined by the next word."""
+    """Positions by words of seven codes each; only groups that a word tells apart are sorted again."""
     order = at[np.argsort(word[at], kind="stable")]
+    if not len(order):
+        return order
     key = word[order]
-    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) if len(order) else np.zeros(0, np.int64)
+    new = np.r_[True, key[1:] != key[:-1]]
+    group = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))  # a group is known by its first place
     for w in range(1, words):
-        same = np.zeros(len(order), bool)
-        if len(order) > 1:
-            tie = group[1:] == group[:-1]
-            same[1:] |= tie
-            same[:-1] |= tie
-        open_ = np.flatnonzero(same)
+        tie = group[1:] == group[:-1]
+        open_ = np.flatnonzero(np.r_[tie, False] | np.r_[False, tie])
         if not len(open_):
             break
+        own = group[open_]
         key = word[order[open_] + 7 * w]
-        by = np.lexsort((key, group[open_]))
-        order[open_] = order[open_][by]
-        key, own = key[by], group[open_]
-        split = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
-        # new groups keep the order of the old ones: a group's number is the place of its first member
-        number = np.arange(len(order))
-        number[open_] = open_[np.maximum.accumulate(np.where(split, np.arange(len(open_)), 0))]
-        group = number
+        head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        number = np.cumsum(np.r_[False, own[1:] != own[:-1]])
+        apart = np.zeros(len(head), bool)
+        apart[number[key != key[head][number]]] = True
+        some = np.flatnonzero(apart[number])
+        if not len(some):
+            continue
+        places, key, own = open_[some], key[some], own[some]
+        by = np.lexsort((key, own))
+        order[places] = order[places][by]
+        key, own = key[by], own[by]
+        new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+        group[places] = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))]
     return order
 
 
@@ -272,14 +269,15 @@ def equal_windows(texts: np.ndarray, sizes: np.ndarray, windows: np.ndarray, len
     offset = np.arange(len(region)) - np.repeat(np.cumsum(windows) - windows, windows)
     base = begin[:-1] + np.arange(len(sizes))
     wanted = base[region] + offset
-    order = sort_suffixes(codes, wanted, length)
+    word = _words(codes, length)
+    order = sort_suffixes(codes, wanted, length, word)
     common = np.ones(max(0, len(order) - 1), bool)  # whether neighbours share a prefix of length bytes
-    padded = np.concatenate([codes, np.zeros(length, np.int16)])
-    for i in range(length):
+    for i in range(0, length, 7):
         live = np.flatnonzero(common)
         if not len(live):
             break
-        common[live] = padded[order[live] + i] == padded[order[live + 1] + i]
+        spare = np.uint64(9 * max(0, i + 7 - length))  # bits of the last word that lie beyond the prefix
+        common[live] = (word[order[live] + i] >> spare) == (word[order[live + 1] + i] >> spare)
     number = np.cumsum(np.r_[True, ~common]) if len(order) else np.zeros(0, np.int64)
     which = np.searchsorted(base, order, side="right") - 1
     return number, which, order - base[which]
