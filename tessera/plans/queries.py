@@ -102,7 +102,7 @@ def q03(spark, d):
 @query("q51_scalar_composites", """
     select s_suppkey, round(greatest(0.0, 1.0 - levenshtein(s_name, n_name) / greatest(length(s_name), length(n_name), 1)), 6) as name_similarity,
            round(case when s_acctbal = 0 and n_nationkey = 0 then 1.0 else greatest(0.0, 1.0 - abs(s_acctbal - n_nationkey * 400) / (greatest(abs(s_acctbal), abs(n_nationkey * 400.0), 1e-9) * 0.5)) end, 6) as value_near,
-           case when upper(trim(s_name)) = upper(trim(n_name)) then 1.0 else 0.0 end as same_name,
+           cast(case when upper(trim(s_name)) = upper(trim(n_name)) then 1.0 else 0.0 end as double) as same_name,
            round(s_acctbal / nullif(n_nationkey, 0), 6) as ratio,
            md5(concat_ws('-', cast(s_suppkey as varchar), coalesce(cast(nullif(n_nationkey, 3) as varchar), '_null_'))) as surrogate,
            upper(md5(concat_ws('~', upper(trim(s_name)), '^^'))) as vault_key,
@@ -179,7 +179,7 @@ def feeds(spark, d):
     with {KEYED}
     select source_system, source_record_id, exact_key_type, exact_key, match_row_count, match_source_count,
            case when keep then md5('customer|' || exact_key_type || '|' || exact_key) end as golden_key,
-           case when not keep then 0.0 when exact_key_type = 'normalised_name' then 0.95 else 1.0 end as confidence, not keep as is_pending_probabilistic
+           cast(case when not keep then 0.0 when exact_key_type = 'normalised_name' then 0.95 else 1.0 end as double) as confidence, not keep as is_pending_probabilistic
     from e""")
 def q05(spark, d):
     out = resolution.ranked_keys(feeds(spark, d), "customer", RANKED)
