@@ -206,10 +206,10 @@ def strongest(model: Model, texts: list[str | None], top: int = 1) -> list[list[
 
 
 def _gapped(unit: str, seed: int) -> list[str]:
-    """Copies of a unit with characters inserted between its letters."""
+    """Copies of a unit with one or two characters inserted between its letters."""
     rng = np.random.default_rng(seed)
     out = []
-    for n in (1, 2):
+    for n in (1, 1, 1, 2):
         chars = list(unit)
         for at in sorted(rng.integers(1, len(unit), n).tolist(), reverse=True):
             chars.insert(at, "xz0"[rng.integers(3)])
@@ -297,7 +297,7 @@ def fit(
         negatives = sorted(against)
         units = positives + [g for g, _ in copies] + negatives
         y = np.array([1] * (len(units) - len(negatives)) + [0] * len(negatives))
-        seen = np.minimum([weight[u] for u in positives] + [w / 16 for _, w in copies] + [against[u] for u in negatives], 400.0) ** 0.75
+        seen = np.minimum([weight[u] for u in positives] + [w / 4 for _, w in copies] + [against[u] for u in negatives], 400.0) ** 0.75
         cost = COST * seen * np.where(y > 0, seen[y == 0].sum() / seen[y > 0].sum(), 1.0)
         model = _solve(landmarks, units, y, cost)
         found = rows.mapInArrow(_best(model, TOP), "label int, margin double, units array<string>").collect()
