@@ -150,15 +150,15 @@ def q04(spark, d):
 # -- entity resolution
 
 FEEDS = """
-    select 'relatio' as source_system, 'R' || c_custkey as source_record_id, c_custkey as true_id,
+    select 'crm' as source_system, 'R' || c_custkey as source_record_id, c_custkey as true_id,
            case when c_custkey % 4 = 0 then 'L' || c_custkey end as loyalty, case when c_custkey % 2 = 0 then 'c' || c_custkey || '@x.io' end as email, c_name as name
     from {customer} where c_custkey % 3 <> 2
     union all
-    select 'cartivo', 'C' || c_custkey, c_custkey, case when c_custkey % 8 = 0 then 'L' || c_custkey end,
+    select 'shop', 'C' || c_custkey, c_custkey, case when c_custkey % 8 = 0 then 'L' || c_custkey end,
            case when c_custkey % 6 <> 5 then 'c' || c_custkey || '@x.io' end, c_name
     from {customer} where c_custkey % 3 <> 0
     union all
-    select 'mercaro', 'M' || c_custkey, c_custkey, cast(null as string), cast(null as string), lower(c_name) from {customer} where c_custkey % 5 = 0"""
+    select 'market', 'M' || c_custkey, c_custkey, cast(null as string), cast(null as string), lower(c_name) from {customer} where c_custkey % 5 = 0"""
 DUCK_FEEDS = plain(FEEDS).replace("as string", "as varchar")
 RANKED = ["loyalty", "email", "normalised_name"]
 KEYED = f"""
