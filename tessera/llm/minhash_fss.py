@@ -35,6 +35,7 @@ WORDS = 5
 THRESHOLD = 75  # hundredths
 COORDINATES, ROWS = 128, 4
 LEFT_BLOCK, RIGHT_BLOCK = 64, 256
+SALTS = 8
 CACHE = 300_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -194,10 +195,16 @@ def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
+def _met(rows: DataFrame, by_key: DataFrame) -> DataFrame:
+    """rows with the one row of their key: keys that very many rows share are dealt to several tasks."""
+    spread = by_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["key", "_salt"]).drop("_salt")
+
+
 def _apart(rows: DataFrame) -> DataFrame:
     """Rows (key, id, n, centre, c) of the buckets whose members lie in more than one component."""
     mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    return materialise(rows.join(mixed, "key"), "apart")
+    return materialise(_met(rows, mixed), "apart")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -215,7 +222,7 @@ def _block_links(rows: DataFrame, comp: DataFrame, texts: DataFrame, threshold:
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "c")
     sized = rows.join(sizes, "c", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     main = sized.groupBy("key").agg(F.max_by("c", F.struct(F.col("size"), -F.col("c"))).alias("main"))
-    out = materialise(rows.join(main, "key").where("c <> main").select("main", "id", "c").distinct(), "outside")
+    out = materialise(_met(rows, main).where("c <> main").select("main", "id", "c").distinct(), "outside")
     mains = out.select("main").distinct()
     inside = comp.join(mains, comp["component"] == mains["main"]).select("main", "id", F.col("component").alias("c"))
     alone = mains.join(comp.select(F.col("component").alias("main")).distinct(), "main", "left_anti").select("main", F.col("main").alias("id"), F.col("main").alias("c"))
@@ -245,11 +252,11 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
 
     bands = reps.select("id", "sketch").mapInArrow(_bands, "key long, id long")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(bands.join(shared, "key"), "buckets")
+    met = materialise(_met(bands, shared), "buckets")
     fame = met.groupBy("id").agg(F.sum("n").alias("fame"))
     famed = met.join(fame, "id")
     centres = famed.groupBy("key").agg(F.max_by("id", F.struct(F.col("fame"), -F.col("id"))).alias("centre"), F.max("fame").alias("best"))
-    members = materialise(famed.join(centres, "key").select("key", "id", "n", "centre", "best"), "members")
+    members = materialise(_met(famed, centres).select("key", "id", "n", "centre", "best"), "members")
     texts = materialise(
         rows.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts"
     )
