@@ -35,26 +35,38 @@ def fit_dual(
 
 
 def fit_primal(x: np.ndarray, labels: np.ndarray, cost: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and bias under the squared hinge loss, by Newton steps over the examples inside the margin."""
+    """Weights and bias under the squared hinge loss, by Newton steps over the examples inside the margin.
+
+    Examples are taken in blocks, so beside x itself memory is that of one block and of one square of the features.
+    """
     sign = np.where(labels > 0, 1.0, -1.0)
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    ridge = np.ones(x.shape[1])
+    size = x.shape[1] + 1
+    ridge = np.ones(size)
     ridge[-1] = 1e-3
+    blocks = [slice(i, i + 4096) for i in range(0, len(x), 4096)]
 
-    def loss(at: np.ndarray) -> float:
-        return float(ridge * at @ at / 2 + cost @ np.maximum(0.0, 1.0 - sign * (x @ at)) ** 2)
+    def margins(at: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[b] @ at[:-1] + at[-1] for b in blocks]) if blocks else np.zeros(0)
+
+    def loss(at: np.ndarray, m: np.ndarray) -> float:
+        return float(ridge * at @ at / 2 + cost @ np.maximum(0.0, 1.0 - sign * m) ** 2)
 
+    w = np.zeros(size)
+    now = margins(w)
     for _ in range(steps):
-        slack = 1.0 - sign * (x @ w)
-        inside = slack > 0
-        part, c = x[inside], cost[inside]
-        gradient = ridge * w - 2 * part.T @ (c * slack[inside] * sign[inside])
-        move = -np.linalg.solve(np.diag(ridge) + 2 * (part * c[:, None]).T @ part, gradient)
-        now, scale = loss(w), 1.0
-        while loss(w + scale * move) > now and scale > 1e-6:
+        slack = np.maximum(0.0, 1.0 - sign * now)
+        gradient, hessian = ridge * w, np.diag(ridge)
+        for b in blocks:
+            inside = slack[b] > 0
+            part = np.column_stack([x[b][inside].astype(np.float64), np.ones(int(inside.sum()))])
+            c = cost[b][inside]
+            gradient = gradient - 2 * part.T @ (c * slack[b][inside] * sign[b][inside])
+            hessian += 2 * (part * c[:, None]).T @ part
+        move = -np.linalg.solve(hessian, gradient)
+        scale, before = 1.0, loss(w, now)
+        while loss(w + scale * move, after := margins(w + scale * move)) > before and scale > 1e-6:
             scale /= 2
-        w = w + scale * move
+        w, now = w + scale * move, after
         if np.abs(scale * move).max() < 1e-6:
             break
     return w[:-1], float(w[-1])

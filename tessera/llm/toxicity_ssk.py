@@ -90,7 +90,7 @@ def _coded(units: list[str], alphabet: np.ndarray, decay: float) -> Iterator[tup
     for n in np.unique(lengths[lengths >= 3]):
         i, j, k, weight = _spans(int(n), decay)
         every = np.flatnonzero(lengths == n)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 400_000 // len(i))
         for at in range(0, len(every), step):
             some = every[at : at + step]
             raw = np.frombuffer("".join([units[x] for x in some]).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(some), n)
@@ -102,26 +102,35 @@ def _coded(units: list[str], alphabet: np.ndarray, decay: float) -> Iterator[tup
             yield some, code, weight
 
 
+class Index:
+    """Landmarks by their subsequences, for kernels of many units against them."""
+
+    def __init__(self, landmarks: list[str], decay: float = DECAY):
+        self.decay, self.alphabet = decay, _alphabet(landmarks)
+        found = list(_coded(landmarks, self.alphabet, decay))
+        codes = np.unique(np.concatenate([c.ravel() for _, c, _ in found]))
+        self.column = np.full((len(self.alphabet) + 1) ** 3, -1, np.int32)
+        self.column[codes] = np.arange(len(codes))
+        self.right = np.zeros((len(landmarks), len(codes)))
+        for some, code, weight in found:
+            for row, line in zip(some, code, strict=True):
+                self.right[row] += np.bincount(self.column[line], weight, minlength=len(codes))
+
+    def kernel(self, units: list[str]) -> np.ndarray:
+        size, out = self.right.shape[1], np.zeros((len(units), len(self.right)))
+        for some, code, weight in _coded(units, self.alphabet, self.decay):
+            for at in range(0, len(some), 128):
+                got = self.column[code[at : at + 128]]
+                got[code[at : at + 128] == 0] = -1
+                row, where = np.nonzero(got >= 0)
+                left = np.bincount(row * size + got[row, where], weight[where], minlength=len(got) * size)
+                out[some[at : at + 128]] = left.reshape(len(got), size) @ self.right.T
+        return out
+
+
 def kernel(units: list[str], landmarks: list[str], decay: float = DECAY) -> np.ndarray:
     """Subsequence kernel of length three between units and landmarks, not normalised."""
-    alphabet = _alphabet(landmarks)
-    column = np.full((len(alphabet) + 1) ** 3, -1, np.int64)
-    found = [(some, code, weight) for some, code, weight in _coded(landmarks, alphabet, decay)]
-    codes = np.unique(np.concatenate([c.ravel() for _, c, _ in found]))
-    column[codes] = np.arange(len(codes))
-    right = np.zeros((len(landmarks), len(codes)))
-    for some, code, weight in found:
-        for row, line in zip(some, code, strict=True):
-            right[row] += np.bincount(column[line], weight, minlength=len(codes))
-    out = np.zeros((len(units), len(landmarks)))
-    for some, code, weight in _coded(units, alphabet, decay):
-        for at in range(0, len(some), 256):
-            got = column[code[at : at + 256]]
-            got[code[at : at + 256] == 0] = -1
-            row, where = np.nonzero(got >= 0)
-            left = np.bincount(row * len(codes) + got[row, where], weight[where], minlength=len(got) * len(codes))
-            out[some[at : at + 256]] = left.reshape(len(got), len(codes)) @ right.T
-    return out
+    return Index(landmarks, decay).kernel(units)
 
 
 def self_kernel(units: list[str], decay: float = DECAY) -> np.ndarray:
@@ -220,10 +229,14 @@ def _gapped(unit: str, seed: int) -> list[str]:
 def _solve(landmarks: list[str], units: list[str], labels: np.ndarray, cost: np.ndarray) -> Model:
     """Nyström features of units over landmarks, and the linear model on them."""
     own = self_kernel(landmarks)
-    gram = kernel(landmarks, landmarks) / np.sqrt(own[:, None] * own[None, :])
+    index = Index(landmarks)
+    gram = index.kernel(landmarks) / np.sqrt(own[:, None] * own[None, :])
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    features = kernel(units, landmarks) / np.sqrt(self_kernel(units)[:, None] * own[None, :]) @ root
+    features = np.empty((len(units), len(landmarks)), np.float32)  # filled by blocks, to spare the driver's memory
+    for i in range(0, len(units), 2048):
+        some = units[i : i + 2048]
+        features[i : i + 2048] = index.kernel(some) / np.sqrt(self_kernel(some)[:, None] * own[None, :]) @ root
     w, bias = fit_primal(features, labels, cost)
     return fold(landmarks, root @ w, bias)
 
