@@ -22,6 +22,8 @@ from tessera.functions.scalars import (
 from tessera.operators.relational import newest
 
 NAME_KEY = "normalised_name"
+#: Shares that the records of a type are dealt into where all its pairs are scored.
+TILES = 64
 
 
 def ranked_keys(candidates: DataFrame, entity: str, ranked: list[str]) -> DataFrame:
@@ -137,6 +139,11 @@ def candidate_pairs(pending: DataFrame, config: Scoring, same_source: bool = Fal
         left = marked.select(*[F.col(c).alias(f"l_{c}") for c in columns], F.col("block").alias("l_block"))
         right = marked.select(*[F.col(c).alias(f"r_{c}") for c in columns], F.col("block").alias("r_block"))
         typed = typed & (F.col("l_block") == F.col("r_block"))
+    else:  # every record meets its whole type, one share of the left side in a task
+        dealt = F.pmod(F.xxhash64("l_source_system", "l_source_id"), F.lit(TILES)).cast("int")
+        left = left.withColumn("l_tile", dealt)
+        right = right.withColumn("r_tile", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
+        typed = typed & (F.col("l_tile") == F.col("r_tile"))
     met = left.join(right, typed & apart)
     score = composite_score([
         (string_similarity(F.col("l_name"), F.col("r_name")), config.name),

@@ -212,7 +212,7 @@ PENDING = """
     select 'part' as entity_type, 'sys' || p_partkey % 3 as source_system, p_partkey as source_id,
            case when p_partkey % 7 = 0 then upper(p_name) else p_name || ' ' || cast(p_partkey % 50 as string) end as name, p_type as sector,
            date_add(cast('2000-01-01' as date), cast(p_partkey % 400 as int)) as day, case when p_partkey % 11 <> 0 then p_retailprice end as value, p_brand as brand
-    from {part} where p_partkey < 2000"""
+    from {part}"""
 DUCK_PENDING = plain(PENDING).replace("as string", "as varchar").replace("date_add(cast('2000-01-01' as date), cast(p_partkey % 400 as int))", "cast('2000-01-01' as date) + cast(p_partkey % 400 as integer)")
 SCORED = f"""
     p as ({DUCK_PENDING}),
@@ -227,11 +227,14 @@ SCORED = f"""
     b as (select entity_type, source_system, source_id, matched_system, matched_id, score from c
           qualify row_number() over (partition by entity_type, source_system, source_id order by score desc, matched_system, matched_id) = 1)"""
 SCORING = resolution.Scoring(blocks=["brand"])
+#: Every pair of a type, as the surveyed operator scores them.
+SCORED_ALL = SCORED.replace(" and l.brand = r.brand", "")
+SCORING_ALL = resolution.Scoring()
 
 
-def pairs(spark, d):
+def pairs(spark, d, scoring=SCORING):
     pending = derived(spark, d, PENDING)
-    marked = resolution.candidate_pairs(pending, SCORING)
+    marked = resolution.candidate_pairs(pending, scoring)
     return pending, marked.withColumn("raw_score", F.col("score")).withColumn("score", F.round("score", 6))
 
 
@@ -249,6 +252,20 @@ def q08(spark, d):
     return resolution.route(pending, scored, SCORING).select("source_system", "source_id", "route")
 
 
+@query("q57_er_candidate_scores_all_pairs", f"""
+    with {SCORED_ALL} select entity_type, source_system, source_id, matched_system, matched_id, floor(score * 10000 + 0.000001) / 10000 as score from b""")
+def q57(spark, d):
+    return pairs(spark, d, SCORING_ALL)[1].select("entity_type", "source_system", "source_id", "matched_system", "matched_id", (F.floor(F.round("raw_score", 9) * 10000 + 0.000001) / 10000).alias("score"))
+
+
+@query("q58_er_tier2_routing_all_pairs", f"""
+    with {SCORED_ALL}, x as (select p.source_system, p.source_id, round(b.score, 6) as score from p left join b using (entity_type, source_system, source_id))
+    select source_system, source_id, case when score > 0.85 then 'auto' when score >= 0.65 then 'review' else 'reject' end as route from x""")
+def q58(spark, d):
+    pending, scored = pairs(spark, d, SCORING_ALL)
+    return resolution.route(pending, scored, SCORING_ALL).select("source_system", "source_id", "route")
+
+
 DECISIONS = """
     select 'sys' || s_suppkey % 3 || ':' || s_suppkey as low, 'sys' || (s_suppkey + 1) % 3 || ':' || (s_suppkey + 1) as high,
            case when s_suppkey % 2 = 0 then 'match' else 'distinct' end as decision, s_suppkey as reviewed_at from {supplier}

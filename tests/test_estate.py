@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import bronze, finance, graph, quality, relational, resolution, semantic, survivorship, temporal, vault
 from tessera.plans import compile as plan
-from tessera.plans import contracts
+from tessera.plans import contracts, queries
 from tessera.sources import codecs, readers
 from tessera.streaming import ingest
 
@@ -68,6 +68,36 @@ def test_scoring_blocks_lose_nothing_here(spark):
     assert all(r["matched_id"] // 2 == r["source_id"] // 2 for r in full)
 
 
+def test_scoring_reaches_every_part(spark, tmp_path):
+    rows = [(k, f"part {k * k % 23}", f"B{k % 5}", f"T{k % 3}", 900.0 + k % 37) for k in range(1990, 2030)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "part.parquet"))
+    names = {k: name.upper() if k % 7 == 0 else f"{name} {k % 50}" for k, name, *_ in rows}
+
+    def edits(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    def score(a, b):
+        name = 1 - edits(names[a[0]], names[b[0]]) / max(len(names[a[0]]), len(names[b[0]]))
+        top, weight = 0.5 * name + 0.2 * (a[3] == b[3]) + 0.15 * max(0.0, 1 - abs(a[0] % 400 - b[0] % 400) / 365), 0.85
+        if a[0] % 11 and b[0] % 11:
+            top, weight = top + 0.15 * max(0.0, 1 - abs(a[4] - b[4]) / (max(a[4], b[4]) * 0.25)), 1.0
+        return top / weight
+
+    for name, same_brand in (("q07_er_candidate_scores", True), ("q57_er_candidate_scores_all_pairs", False)):
+        got = {r["source_id"]: r["score"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        best = {a[0]: max(score(a, b) for b in rows if a[0] % 3 != b[0] % 3 and (a[2] == b[2] or not same_brand)) for a in rows}
+        assert got.keys() == best.keys() and all(abs(got[k] - best[k]) < 1.1e-4 for k in best)
+    routes = {r["source_id"]: r["route"] for r in queries.QUERIES["q58_er_tier2_routing_all_pairs"](spark, str(tmp_path)).collect()}
+    assert routes == {k: "auto" if x > 0.85 else "review" if x >= 0.65 else "reject" for k, x in best.items()}
+
+
 def test_vault_twice_is_noop(spark, tmp_path):
     raw = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), (None, "z", 1)], "k string, v string, at int")
     rows = vault.stage(raw, {"hk": ["k"]}, ["v"], "src", F.lit("2024-01-01").cast("timestamp"))
