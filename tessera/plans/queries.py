@@ -433,7 +433,7 @@ def q18(spark, d):
     return out.select("user_id", *[F.date_format(f"{k}_load", "yyyy-MM-dd HH:mm:ss").alias(f"{k}_load") for k in sats])
 
 
-STAGES = "select user_id, event_type as stage, cast(ts as date) as start, event_id from {events} where user_id % 3 = 0"
+STAGES = "select user_id, event_type as stage, cast(ts as date) as start, event_id from {events}"
 STAGED = """
     h as ({0}),
     v as (select *, lead(start) over (partition by user_id order by start, event_id) as following from h)"""
@@ -569,7 +569,7 @@ def q27(spark, d):
     return finance.calculated_field(spec, finance.multiples(performance(spark, d))).withColumn("residual", F.col("residual").cast("double"))
 
 
-XIRR_FLOWS = "select o_custkey as fund, cast(o_orderdate as date) as flow_date, cast(case when o_orderkey % 3 = 0 then -3 * o_totalprice else o_totalprice end as double) as amount from {orders} where o_custkey % 10 = 1"
+XIRR_FLOWS = "select o_custkey as fund, cast(o_orderdate as date) as flow_date, cast(case when o_orderkey % 3 = 0 then -3 * o_totalprice else o_totalprice end as double) as amount from {orders}"
 
 
 @query("q28_xirr_by_customer", f"""

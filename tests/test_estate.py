@@ -35,6 +35,36 @@ def test_scalars(spark):
         S.type_of("blob")
 
 
+def test_stages_and_flows_reach_every_key(spark, tmp_path):
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    events = [(3 * u + i, day(3 * i + u), u, ("view", "click", "purchase")[i]) for u in range(7) for i in range(3)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    orders = [(3 * c + i, c, day(200 * i + c), 100.0 * (i + 1) + c) for c in range(1, 13) for i in range(3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    spans = {(r["user_id"], r["stage"]): (r["effective_from"], r["effective_to"]) for r in run("q19_scd2_unknown_member") if r["user_id"] >= 0}
+    ends = [[f"{day(3 * i + u):%Y-%m-%d}" for i in range(3)] + ["9999-12-31"] for u in range(7)]
+    assert spans == {(u, k): (ends[u][i], ends[u][i + 1]) for u in range(7) for i, k in enumerate(("view", "click", "purchase"))}
+    assert sum(r["n_versions"] for r in run("q20_stage_same_day_ties")) == len(events)
+    assert sum(r["n_users"] for r in run("q37_pipeline_funnel_cycle_time")) == 7
+
+    def rate(c):
+        flows = [((d - min(x[2] for x in orders if x[1] == c)).days / 365, -3 * p if k % 3 == 0 else p) for k, x, d, p in orders if x == c]
+        npv = lambda r: sum(a * (1 + r) ** -y for y, a in flows)
+        low, high = -0.9999, 100.0
+        side = npv(low) >= 0
+        if side == (npv(high) >= 0):
+            return None
+        for _ in range(20):
+            low, high = ((low + high) / 2, high) if (npv((low + high) / 2) >= 0) == side else (low, (low + high) / 2)
+        return (low + high) / 2
+
+    found = {r["fund"]: r["xirr"] for r in run("q28_xirr_by_customer")}
+    assert found.keys() == set(range(1, 13)) and any(found.values())
+    assert all(found[c] == (rate(c) if rate(c) is None else pytest.approx(rate(c), abs=1e-5)) for c in found)
+    assert {r["fund"] for r in run("q29_pme_ratio")} == set(range(1, 13))
+
+
 def test_xirr_known_answers(spark):
     days = [dt.date(2021 + i, 9, 30) for i in range(5)]
     rows = [("a", d, x) for d, x in zip(days, (-5e6, -2.5e6, 1.8e6, 2.2e6, 8.3e6), strict=True)] + [("b", days[0], 1.0), ("b", days[1], 2.0)]
