@@ -57,22 +57,26 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(record, component) over record-identifier edges: least label by alternating minima, until nothing moves."""
+def components(edges: DataFrame) -> DataFrame:
+    """(record, component) over record-identifier edges: least label by alternating minima, until nothing moves.
+
+    A lower label goes to the record that the old label names too, so whole trees are hooked; labels only fall, so rounds
+    end by themselves.
+    """
     pairs = _written(edges.select("record", "identifier").where("record is not null and identifier is not null").distinct())
     labels = _written(pairs.groupBy("record").agg(F.min("record").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         by_id = pairs.join(labels, "record").groupBy("identifier").agg(F.min("label").alias("least"))
         near = pairs.join(by_id, "identifier").groupBy("record").agg(F.min("least").alias("least"))
-        hooked = labels.join(near, "record").select("record", F.col("label").alias("old"), F.least("label", "least").alias("l"))
-        up = labels.select(F.col("record").alias("_r"), F.col("label").alias("_l"))
-        step = hooked.join(up, hooked["l"] == up["_r"], "left").select("record", "old", F.least("l", F.coalesce("_l", "l")).alias("label"))
-        step = _written(step)
+        own = _written(labels.join(near, "record").select("record", F.col("label").alias("old"), F.least("label", "least").alias("l")))
+        given = own.where("l < old").groupBy(F.col("old").alias("_root")).agg(F.min("l").alias("_given"))
+        hooked = _written(own.join(given, own["record"] == given["_root"], "left").select("record", "old", F.least("l", "_given").alias("l")))
+        up = hooked.select(F.col("record").alias("_r"), F.col("l").alias("_l"))
+        step = _written(hooked.join(up, hooked["l"] == up["_r"]).select("record", "old", F.least("l", "_l").alias("label")))
         moved = step.where("label <> old").limit(1).count()
         labels = step.select("record", "label")
         if not moved:
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def transitive(records: DataFrame, entity: str, ranked: list[str], record: str = "record") -> DataFrame:

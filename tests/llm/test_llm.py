@@ -27,6 +27,7 @@ from tessera.llm import (
 from tessera.llm.common import id_crc
 from tessera.llm.components import connected_components
 from tessera.llm.queries import tokenizer_file
+from tessera.operators import resolution
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "su", "ta") for b in ("ra", "ven", "dol", "pik")]
@@ -131,6 +132,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    ids = np.random.default_rng(0).permutation(3000).tolist()
+    edges = list(zip(ids, ids[1:], strict=False))
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == 3000 and {r["component"] for r in got} == {0}
+    linked = spark.createDataFrame([(v, e) for e, ends in enumerate(edges) for v in ends], "record long, identifier long")
+    got = resolution.components(linked).collect()
+    assert len(got) == 3000 and {r["component"] for r in got} == {0}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((6, 16))
