@@ -3,15 +3,22 @@
 A text is judged by its units: words, lower-cased, letters and digits alone, and runs of words of one or two characters
 joined, so an insult spelled with blanks or marks between its letters is still one unit. The kernel between two units
 counts common subsequences of three characters, each weighed by a decay for every character its two spans cover, so
-gaps and inserted characters lower a match and don't end it. Landmarks are units, and stems of units, that set the
-classes apart in the labelled documents beyond chance, with frequent harmless ones; the Nyström map sends a unit to the span of the landmarks, where a
-linear model is fitted under the squared hinge loss, by Newton steps. Sentences carry their document's label; after each fit the
-strongest unit of every labelled document becomes its example, the toxic ones joined by copies with inserted characters,
-so that the model settles on the units that explain the labels. A text scores by its strongest unit, through a logistic
-curve.
-
-The model learns from at most ``max_labelled`` labelled rows and ``max_units`` units; these bounds are parameters.
-Scores cover every unit of every whole text; units longer than 24 characters are scored by overlapping windows.
+gaps and inserted characters lower a match and don't end it; it is normalised and squared, which is a kernel again and
+keeps many faint matches from adding up to one. Landmarks are units that set the classes apart in the labelled
+documents beyond chance, some of their copies with inserted characters, frequent harmless units and, after each round,
+the harmless ones that came closest; the Nyström map sends a unit to the span of the landmarks, where a linear model is
+fitted under the squared hinge loss, by Newton steps.
+
+Labels are given by document, and the sentences of a document carry its label: so every round scores all units of all
+labelled documents; harmless ones near the boundary join the examples, and so does the strongest unit of each toxic
+document. Toxic examples are joined by copies with letters and digits inserted at every place, so that the model learns
+the gaps that an insult may have; the logistic curve of the scores is fitted on documents and on fresh copies. A text
+scores by its strongest unit.
+
+The model learns from at most ``max_labelled`` labelled rows; ``max_units`` bounds the first examples, to which the rounds
+add from all labelled documents; both are parameters. Scores cover every unit of every whole text; units longer than 24
+characters are scored by overlapping windows. Units whose kernel with every toxic landmark is provably under ``NEAR``
+get the margin of a harmless example without further sums; that is part of the model, in fitting and scoring alike.
 
 Defined cases: null texts count as empty; texts without units score by the curve at the lowest margin; labels that are
 null or not 0/1 are ignored; repeated label rows of one document count once, the smaller label holding; with no labels,
@@ -36,17 +43,21 @@ from tessera.llm.linear_svm import fit_primal, fit_sigmoid, sigmoid
 from tessera.llm.quality_nbsvm import labelled_sample
 
 MAX_LABELLED = 20_000
-MAX_UNITS = 12_000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 300, 150
-DECAY = 0.5
+MAX_UNITS = 40_000
+TOXIC_LANDMARKS, COPIED_LANDMARKS, CLEAN_LANDMARKS = 40, 20, 60
+CORE = 25  # units whose every place gets copies with inserted characters
+DECAY = 0.8
+POWER = 2
+NEAR, FAR = 0.4, -1.0  # a kernel below NEAR with every toxic landmark gives the margin FAR
 LONGEST = 24
 CACHE = 400_000
-ROUNDS = 3
+ROUNDS = 4
 COST = 2.0
 TOP = 4  # units of each labelled document that a round looks at
-STEMS = (5, 6)
-PRECISE = 0.8  # and if so many of the documents that hold it are toxic
+HARD = -0.5  # margin from which a harmless unit joins the examples
+PRECISE = 0.8  # least share of toxic documents among those that hold a telling unit
 SURE = 4.0  # a unit tells the classes apart if its log-likelihood gain beats chance among all units by this much
+INSERTED = "abcdefghijklmnopqrstuvwxyz0123456789"
 _JUNK = re.compile(r"[\W_]+")
 _SHORT = re.compile(r"(?<!\S)\S{1,2}(?:[^\S\n]+\S{1,2}(?!\S))+")
 
@@ -159,44 +170,63 @@ def self_kernel(units: list[str], decay: float = DECAY) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A fitted model, folded: every landmark's weight is spread over the subsequences it holds, so a unit's margin is
-    one sum over its own subsequences, exactly the weighted sum of its normalised kernels."""
+    """A fitted model: weights beta over the squared normalised kernels with the landmarks, and bounds that spare most
+    units the sums. groups: for each toxic landmark and its copies, the largest weight of every subsequence."""
 
-    alphabet: np.ndarray
-    table: np.ndarray
+    index: Index
+    norms: np.ndarray
+    beta: np.ndarray
     bias: float
+    groups: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
     floor: float = 0.0  # margin of a text without units
 
+    def _near(self, units: list[str], norm: np.ndarray) -> np.ndarray:
+        """Places of units whose kernel with some toxic landmark may reach NEAR."""
+        if not self.groups.shape[1]:
+            return np.zeros(0, np.int64)
+        table = self.groups.max(axis=1)
+        found = []
+        for some, code, weight in _coded(units, self.index.alphabet, DECAY):
+            got = self.index.column[code]  # -1, the last row of groups, is zero
+            weight = weight.astype(np.float32)
+            hot = np.flatnonzero(table[got] @ weight >= NEAR * norm[some])
+            for at in range(0, len(hot), 1024):
+                part = hot[at : at + 1024]
+                bound = np.zeros((len(part), self.groups.shape[1]), np.float32)
+                for t in range(len(weight)):
+                    bound += weight[t] * self.groups[got[part, t]]
+                found.append(some[part[bound.max(axis=1) >= NEAR * norm[some[part]]]])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
     def margins(self, units: list[str]) -> np.ndarray:
-        out = np.zeros(len(units))
-        for some, code, weight in _coded(units, self.alphabet, DECAY):
-            out[some] = self.table[code] @ weight
-        return out / np.sqrt(self_kernel(units)) + self.bias if units else out
+        out = np.full(len(units), FAR)
+        if units and len(self.beta):
+            norm = np.sqrt(self_kernel(units))
+            near = self._near(units, norm)
+            if len(near):
+                k = self.index.kernel([units[i] for i in near]) / (norm[near][:, None] * self.norms[None, :])
+                out[near] = np.maximum(k, 0.0) ** POWER @ self.beta + self.bias
+        return out
 
     def curve(self, margin: float) -> float:
-        return float(sigmoid(self.slope * margin + self.shift))
+        return float(sigmoid(self.slope * squash(margin) + self.shift))
 
 
-def fold(landmarks: list[str], weights: np.ndarray, bias: float) -> Model:
-    """The model of weights over kernels normalised on both sides."""
-    alphabet = _alphabet(landmarks)
-    table = np.zeros((len(alphabet) + 1) ** 3)
-    scaled = weights / np.sqrt(self_kernel(landmarks))
-    for some, code, weight in _coded(landmarks, alphabet, DECAY):
-        np.add.at(table, code, scaled[some][:, None] * weight[None, :])
-    table[0] = 0.0
-    return Model(alphabet, table, float(bias), floor=float(bias))
+def squash(margin):
+    """Margins beyond one count by their logarithm, so that a mislabelled document can't flatten the curve."""
+    return np.where(np.asarray(margin) > 1, 1 + 0.25 * np.log(np.maximum(margin, 1)), margin)
 
 
 def constant(share: float) -> Model:
-    return Model(np.array([97], np.int32), np.zeros(8), 0.0, 1.0, float(np.log(share / (1 - share))))
+    none = np.zeros(0)
+    return Model(Index(["aaa"]), none, none, 0.0, np.zeros((2, 0), np.float32), 1.0, float(np.log(share / (1 - share))))
 
 
 def strongest(model: Model, texts: list[str | None], top: int = 1) -> list[list[tuple[float, str]]]:
     """The top (margin, unit) of each text, strongest first; one entry of the floor for a text without units."""
-    stamp = zlib.crc32(model.table.tobytes())
+    stamp = zlib.crc32(model.beta.tobytes())
     out = []
     for i in range(0, len(texts), 128):
         found = [units_of(t or "") for t in texts[i : i + 128]]
@@ -214,45 +244,53 @@ def strongest(model: Model, texts: list[str | None], top: int = 1) -> list[list[
     return out
 
 
-def _gapped(unit: str, seed: int) -> list[str]:
-    """Copies of a unit with one or two characters inserted between its letters."""
+def _gapped(unit: str, seed: int, each: int = 1) -> list[str]:
+    """Copies of a unit with a character inserted at every inner place, ``each`` times, and some with two."""
     rng = np.random.default_rng(seed)
     out = []
-    for n in (1, 1, 1, 2):
+    for at in list(range(1, len(unit))) * each:
+        out.append(unit[:at] + INSERTED[rng.integers(len(INSERTED))] + unit[at:])
+    for _ in range(2 * each):
         chars = list(unit)
-        for at in sorted(rng.integers(1, len(unit), n).tolist(), reverse=True):
-            chars.insert(at, "xz0"[rng.integers(3)])
+        for at in sorted(rng.integers(1, len(unit), 2).tolist(), reverse=True):
+            chars.insert(at, INSERTED[rng.integers(len(INSERTED))])
         out.append("".join(chars))
     return out
 
 
-def _solve(landmarks: list[str], units: list[str], labels: np.ndarray, cost: np.ndarray) -> Model:
-    """Nyström features of units over landmarks, and the linear model on them."""
-    own = self_kernel(landmarks)
-    index = Index(landmarks)
-    gram = index.kernel(landmarks) / np.sqrt(own[:, None] * own[None, :])
+def _solve(landmarks: dict[str, int], units: list[str], labels: np.ndarray, cost: np.ndarray) -> Model:
+    """Nyström features of units over landmarks (with their group, -1 for harmless ones), and the linear model on them."""
+    names = list(landmarks)
+    index, norms = Index(names), np.sqrt(self_kernel(names))
+
+    def sharp(some: list[str]) -> np.ndarray:
+        return np.maximum(index.kernel(some) / (np.sqrt(self_kernel(some))[:, None] * norms[None, :]), 0.0) ** POWER
+
+    gram = sharp(names)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    features = np.empty((len(units), len(landmarks)), np.float32)  # filled by blocks, to spare the driver's memory
+    features = np.empty((len(units), len(names)), np.float32)  # filled by blocks, to spare the driver's memory
     for i in range(0, len(units), 2048):
-        some = units[i : i + 2048]
-        features[i : i + 2048] = index.kernel(some) / np.sqrt(self_kernel(some)[:, None] * own[None, :]) @ root
+        features[i : i + 2048] = sharp(units[i : i + 2048]) @ root
     w, bias = fit_primal(features, labels, cost)
-    return fold(landmarks, root @ w, bias)
+    group = np.array([landmarks[n] for n in names])
+    scaled = index.right / norms[:, None]
+    bounds = [scaled[group == g].max(axis=0) for g in range(group.max(initial=-1) + 1)]
+    table = np.zeros((index.right.shape[1] + 1, len(bounds)), np.float32)
+    if bounds:
+        table[:-1] = np.stack(bounds, axis=1)
+    return Model(index, norms, root @ w, float(bias), table, floor=FAR)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units and stems (the first letters of longer units) of each document, once each."""
+    """Units of each document, once each, with its label."""
     for b in batches:
-        units, label, stem = [], [], []
+        units, label = [], []
         for text, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
             found = units_of(text or "")
-            stems = {u[:n] for u in found for n in STEMS if len(u) > n}
             units += found
-            units += stems
-            label += [y] * (len(found) + len(stems))
-            stem += [False] * len(found) + [True] * len(stems)
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(label, pa.int32()), pa.array(stem, pa.bool_())], names=["unit", "label", "stem"])
+            label += [y] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(label, pa.int32())], names=["unit", "label"])
 
 
 def _best(model: Model, top: int):
@@ -260,8 +298,10 @@ def _best(model: Model, top: int):
         for b in batches:
             found = strongest(model, b.column("text").to_pylist(), top)
             best = pa.array([x[0][0] for x in found], pa.float64())
-            units = pa.array([[u for m, u in x if u and m > 0] for x in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column("label"), best, units], names=["label", "margin", "units"])
+            near = [[(m, u) for m, u in x if u and m > HARD] for x in found]
+            units = pa.array([[u for _, u in x] for x in near], pa.list_(pa.string()))
+            margins = pa.array([[m for m, _ in x] for x in near], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("label"), best, units, margins], names=["label", "margin", "units", "margins"])
 
     return run
 
@@ -279,69 +319,57 @@ def fit(
     if not up or not down:
         return constant((up + 1) / (up + down + 2))
     counted = materialise(
-        rows.mapInArrow(_units, "unit string, label int, stem boolean").groupBy("unit", "stem").agg(
-            F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")
-        ),
-        "units",
+        rows.mapInArrow(_units, "unit string, label int").groupBy("unit").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "units"
     )
     share = up / (up + down)
     t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
     gain = t * F.log((t + 0.01) / n / share) + c * F.log((c + 0.01) / n / (1 - share))
     least = float(np.log(max(2, counted.count())) + SURE)
-    half = max_units // 2
-    told = counted.withColumn("g", gain).where((t / n >= PRECISE) & (F.col("g") > least)).orderBy(F.desc("g"), "unit", "stem").limit(half).collect()
-    plain = counted.where("not stem and t <= c").orderBy(F.desc("c"), "unit").limit(half // 2).collect()
-    plain += counted.where("not stem and t = 0").orderBy(F.xxhash64("unit"), "unit").limit(half // 2).collect()
+    told = counted.withColumn("g", gain).where((t / n >= PRECISE) & (F.col("g") > least)).orderBy(F.desc("g"), "unit").limit(max_units // 4).collect()
+    plain = counted.where("t <= c").orderBy(F.desc("c"), "unit").limit(max_units // 8).collect()
+    plain += counted.where("t = 0").orderBy(F.xxhash64("unit"), "unit").limit(max_units // 2).collect()
+    discard(counted)
     if not told or not plain:
         return constant((up + 1) / (up + down + 2))
     weight = {r["unit"]: float(r["t"]) for r in told}
-    toxic = list(weight)
-    stems = [r["unit"] for r in told if r["stem"]]
-    longer = counted.where("not stem and c = 0 and t >= 2").where(F.substring("unit", 1, STEMS[0]).isin(stems) | F.substring("unit", 1, STEMS[1]).isin(stems))
-    weight.update((r["unit"], float(r["t"])) for r in longer.orderBy(F.desc("t"), "unit").limit(half // 4).collect() if r["unit"] not in weight)
     against = {r["unit"]: float(r["c"]) for r in plain}
-    clean = list(against)
-    discard(counted)
-    leading = [r["unit"] for r in told if not r["stem"]][: TOXIC_LANDMARKS // 2]
-    landmarks = list(dict.fromkeys(leading + _spread(toxic, TOXIC_LANDMARKS // 2) + clean[: CLEAN_LANDMARKS // 2] + clean[-(CLEAN_LANDMARKS // 2) :]))
+    toxic = list(weight)
+    landmarks = {u: i for i, u in enumerate(toxic[:TOXIC_LANDMARKS])}
+    for i, u in enumerate(toxic[:COPIED_LANDMARKS]):
+        for g in _gapped(u, 1000 + i)[::2]:
+            landmarks.setdefault(g, i)
+    for u in list(against)[:CLEAN_LANDMARKS]:
+        landmarks.setdefault(u, -1)
+    core = sorted(weight.values())[-min(len(weight), CORE)]
     for _ in range(ROUNDS):
         positives = sorted(set(weight).difference(against))
-        copies = [(g, weight[u]) for i, u in enumerate(positives) for g in _gapped(u, i)]
+        copies = [
+            (g, weight[u] / 2) for i, u in enumerate(positives) for g in _gapped(u, i, 6 if weight[u] >= core else 1) if g not in against
+        ]
         negatives = sorted(against)
         units = positives + [g for g, _ in copies] + negatives
         y = np.array([1] * (len(units) - len(negatives)) + [0] * len(negatives))
-        seen = np.minimum([weight[u] for u in positives] + [w / 4 for _, w in copies] + [against[u] for u in negatives], 400.0) ** 0.75
+        seen = np.sqrt([weight[u] for u in positives] + [w for _, w in copies] + [against[u] for u in negatives])
         cost = COST * seen * np.where(y > 0, seen[y == 0].sum() / seen[y > 0].sum(), 1.0)
         model = _solve(landmarks, units, y, cost)
-        found = rows.mapInArrow(_best(model, TOP), "label int, margin double, units array<string>").collect()
+        found = rows.mapInArrow(_best(model, TOP), "label int, margin double, units array<string>, margins array<double>").collect()
+        close: dict[str, float] = {}
         for r in found:
             if r["label"] == 0:
-                for u in r["units"]:
+                for u, m in zip(r["units"], r["margins"], strict=True):
                     against[u] = against.get(u, 0.0) + 1.0
+                    close[u] = close.get(u, 0.0) + m - HARD
+        for u in sorted(close, key=lambda u: (-close[u], u))[:CLEAN_LANDMARKS]:
+            landmarks.setdefault(u, -1)
         for r in found:
             if r["label"] == 1 and r["units"] and r["margin"] > 1 and (u := r["units"][0]) not in against:
                 weight.setdefault(u, 1.0)
     margins, y = np.array([r["margin"] for r in found]), np.array([r["label"] for r in found])
-    model.slope, model.shift = fit_sigmoid(margins, y)
-    model.floor = float(margins.min())
+    fresh = model.margins([g for i, u in enumerate(sorted(u for u in weight if weight[u] >= core)) for g in _gapped(u, 5000 + i)])[:up]
+    model.slope, model.shift = fit_sigmoid(squash(np.concatenate([margins, fresh])), np.concatenate([y, np.ones(len(fresh), int)]))
     return model
 
 
-def _spread(units: list[str], n: int) -> list[str]:
-    """n units far from each other, in order of rank: each next one is the least like those taken."""
-    pool = units[:1000]
-    own = self_kernel(pool)
-    k = kernel(pool, pool) / np.sqrt(own[:, None] * own[None, :])
-    taken = [0]
-    nearest = k[0].copy()
-    while len(taken) < min(n, len(pool)):
-        rank = np.arange(len(pool)) / len(pool)
-        at = int(np.argmin(nearest + 0.5 * rank + 10.0 * np.isin(np.arange(len(pool)), taken)))
-        taken.append(at)
-        nearest = np.maximum(nearest, k[at])
-    return [pool[i] for i in taken]
-
-
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

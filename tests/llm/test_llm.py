@@ -364,10 +364,19 @@ def test_toxicity(spark):
     got = toxicity_ssk.classify(docs, labels).collect()
     assert len(got) == 402 and held_out_accuracy(got, lambda i: int(i % 4 == 0)) > 0.95
     model = toxicity_ssk.fit(docs, labels)
-    clean, gapped, spaced = (toxicity_ssk.strongest(model, [t])[0][0][0] for t in ("kara loven", "you wretchxful", "you w r e t c h f u l"))
-    assert gapped > clean + 0.5 and spaced > clean + 0.5
+
+    def score(*units):
+        return [model.curve(toxicity_ssk.strongest(model, [f"kara {u} loven"])[0][0][0]) for u in units]
+
+    inserted = [w[:i] + c + w[i:] for w in ("wretchful", "blaggard") for i in range(1, len(w)) for c in "aqz07"]
+    hits = np.array(score(*inserted)) >= 0.7
+    assert hits.mean() > 0.85 and min(score("w r e t c h f u l", "b.l.a.g.g.a.r.d", "WRETCHFUL!!")) >= 0.7
+    alike = dict(zip(("wrench", "fulfil", "fretful", "ragged", "kara", "x" * 9000), score("wrench", "fulfil", "fretful", "ragged", "kara", "x" * 9000), strict=True))
+    assert max(alike.values()) < 0.7, alike
     flat = toxicity_ssk.classify(docs, labels.where("false")).collect()
     assert {round(r["score"], 6) for r in flat} == {0.5}
+    odd = frame(spark, [(1, "kara " * 30000), (1, "kara " * 30000), (2, None), (None, "blaggard")]).withColumn("toxic", F.lit(1))
+    assert len(toxicity_ssk.score(odd, model).collect()) == 4 and toxicity_ssk.classify(odd.where("false"), labels).count() == 0
 
 
 def test_kernel_is_exact():
@@ -375,8 +384,8 @@ def test_kernel_is_exact():
         return sum(d ** (a[2] - a[0] + b[2] - b[0] + 2) for a in itertools.combinations(range(len(s)), 3) for b in itertools.combinations(range(len(t)), 3) if all(s[i] == t[j] for i, j in zip(a, b, strict=True)))
 
     for s, t in (("idiot", "idixot"), ("moron", "oronmo"), ("abcabc", "aabbcc"), ("añb", "añb")):
-        assert abs(toxicity_ssk.kernel([s], [t, "zzz"])[0, 0] - brute(s, t, 0.5)) < 1e-12
-        assert abs(toxicity_ssk.self_kernel([s])[0] - brute(s, s, 0.5)) < 1e-6
+        assert abs(toxicity_ssk.kernel([s], [t, "zzz"], 0.5)[0, 0] - brute(s, t, 0.5)) < 1e-12
+        assert abs(toxicity_ssk.self_kernel([s], 0.5)[0] - brute(s, s, 0.5)) < 1e-6
 
 
 def test_solvers():
