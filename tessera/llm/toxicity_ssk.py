@@ -201,7 +201,7 @@ class Model:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def margins(self, units: list[str]) -> np.ndarray:
-        out = np.full(len(units), FAR)
+        out = np.full(len(units), FAR if len(self.beta) else 0.0)
         if units and len(self.beta):
             norm = np.sqrt(self_kernel(units))
             near = self._near(units, norm)
