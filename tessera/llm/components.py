@@ -34,4 +34,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             discard(done)
         label = new
         if not changed:
+            discard(both)
             return label.select(F.col("v").alias("id"), F.col("l").alias("component"))

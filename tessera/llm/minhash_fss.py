@@ -14,7 +14,7 @@ With 32 bands of 4 coordinates a pair at the threshold of 0.75 is missed with pr
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle
 form one shingle; rows with the same set always share a component, whatever their number; rows that repeat an id share
-its component; rows with a null id have a null component and stay; an empty table gives an empty result; extra columns
+its component, and each of their texts links on its own; rows with a null id have a null component and stay; an empty table gives an empty result; extra columns
 are ignored by ``near_groups`` and carried by ``deduplicate``.
 """
 
@@ -34,7 +34,7 @@ from tessera.llm.components import connected_components
 WORDS = 5
 THRESHOLD = 75  # hundredths
 COORDINATES, ROWS = 128, 4
-LEFT_BLOCK, RIGHT_BLOCK = 64, 256
+LEFT_BLOCK, RIGHT_BLOCK = 512, 512
 SALTS = 8
 CACHE = 300_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -139,9 +139,9 @@ def _confirmed(threshold: int):
         last: tuple = (None, None)
         for b in batches:
             keep = []
-            for a_id, ta, tb in zip(b.column("a").to_pylist(), b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
-                if last[0] != a_id:
-                    last = (a_id, shingles(ta))
+            for ta, tb in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
+                if last[0] != ta:
+                    last = (ta, shingles(ta))
                 x, y = last[1], shingles(tb)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
@@ -219,16 +219,23 @@ def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int)
 def _block_links(rows: DataFrame, comp: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Links that single tests left open. Each bucket has a main component, the largest; every member outside it meets
     all of that component and all that stand beside it, block by block."""
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "c")
+    # figures of a component or group are written before they meet its rows, so that both sides of these joins are plain
+    # shuffles, which adaptive execution splits where a key is hot
+    sizes = materialise(comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "c"), "sizes")
     sized = rows.join(sizes, "c", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    main = sized.groupBy("key").agg(F.max_by("c", F.struct(F.col("size"), -F.col("c"))).alias("main"))
-    out = materialise(_met(rows, main).where("c <> main").select("main", "id", "c").distinct(), "outside")
-    mains = out.select("main").distinct()
+    main = sized.groupBy("key").agg(F.max_by(F.struct("c", "size"), F.struct(F.col("size"), -F.col("c"))).alias("m"))
+    main = main.select("key", F.col("m.c").alias("main"), F.col("m.size").alias("main_size"))
+    out = materialise(_met(rows, main).where("c <> main").select("main", "main_size", "id", "c").distinct(), "outside")
+    mains = materialise(out.select("main", "main_size").distinct(), "mains")
     inside = comp.join(mains, comp["component"] == mains["main"]).select("main", "id", F.col("component").alias("c"))
-    alone = mains.join(comp.select(F.col("component").alias("main")).distinct(), "main", "left_anti").select("main", F.col("main").alias("id"), F.col("main").alias("c"))
+    alone = mains.where("main_size = 1").select("main", F.col("main").alias("id"), F.col("main").alias("c"))  # in no link so far
+    out = out.drop("main_size")
     right = out.unionByName(inside).unionByName(alone)
-    counts = out.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / LEFT_BLOCK).cast("int").alias("nl")).join(
-        right.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / RIGHT_BLOCK).cast("int").alias("nr")), "main"
+    counts = materialise(
+        out.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / LEFT_BLOCK).cast("int").alias("nl")).join(
+            right.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / RIGHT_BLOCK).cast("int").alias("nr")), "main"
+        ),
+        "counts",
     )
     spread = F.xxhash64("id")
     text = texts.select("id", "text")
@@ -245,9 +252,9 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     sketched = materialise(rows.mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"), "sketches")
     known = sketched.where("sketch is not null and doc_id is not null")
     classes = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"))
-    reps = materialise(classes.dropDuplicates(["id"]), "classes")
+    reps = materialise(classes, "classes")  # an id that names two texts stands for both
     # rows of one class, and rows that repeat an id with another text, hang together before any comparison
-    same = known.select("doc_id", "d1", "d2", "n_shingles").join(classes.select("d1", "d2", "n_shingles", "id"), ["d1", "d2", "n_shingles"])
+    same = known.select("doc_id", "d1", "d2", "n_shingles").join(reps.select("d1", "d2", "n_shingles", "id"), ["d1", "d2", "n_shingles"])
     named = materialise(same.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
 
     bands = reps.select("id", "sketch").mapInArrow(_bands, "key long, id long")
@@ -257,9 +264,8 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     famed = met.join(fame, "id")
     centres = famed.groupBy("key").agg(F.max_by("id", F.struct(F.col("fame"), -F.col("id"))).alias("centre"), F.max("fame").alias("best"))
     members = materialise(_met(famed, centres).select("key", "id", "n", "centre", "best"), "members")
-    texts = materialise(
-        rows.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts"
-    )
+    named_rows = rows.select(F.col("doc_id").alias("id"), "text", F.md5("text").alias("_digest"))
+    texts = materialise(named_rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "_digest"]).drop("_digest"), "texts")
     discard(met)
 
     # one test for every document: the centre of the bucket whose centre meets most others
@@ -275,7 +281,7 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     rest = _apart(_labelled(left.where("n > 2").select("key", "id", "n", "centre"), comp))
     last = _block_links(rest, comp, texts, threshold)
     final = connected_components(links.unionByName(last).unionByName(named))
-    for old in (members, left, rest, texts):
+    for old in (members, left, rest, texts, reps, named, first, second, last):
         discard(old)
     out = sketched.select("doc_id", "n_shingles").join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
