@@ -8,9 +8,12 @@ regions once. Each part of the anchors builds the suffix array of its regions: s
 are sorted directly, by their bytes, the others are induced from them by one scan over the buckets of first bytes.
 Common prefixes of neighbours then show which windows are equal; all but the earliest are removed.
 
-Parts have a bounded share of the regions; equal regions collapse within a batch, before they are sent, so a passage
-that a third of all documents holds costs each part one region per batch, and only its ends, whose surroundings differ,
-keep one region per document.
+Parts have a bounded share of the anchors and regions, combined before they are sent: of an anchor that a batch holds
+more than once, one goes to its part and the places stay with the batch's own task, as that it occurs again is known
+already; of equal regions only the earliest goes, as the others are known to be removed. So a passage that a third of all
+documents holds costs its parts one anchor and one region per batch, and only its ends, whose surroundings differ, keep
+one region per document. A document is known by its id and a hash of its text (32 bits, as only rows that repeat an id
+need it; 64 for rows without one).
 
 Defined cases: null texts count as empty; texts shorter than ``length`` keep everything; rows with a null id come
 before all others; rows that repeat both id and text are one document, with one result each; rows that repeat an id
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,19 +99,28 @@ def _rows(part: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[t
 
 
 def _emit_anchors(parts: int, length: int, gram: int):
+    """Anchors to their parts, once a batch. Those that a batch holds twice are repeated for sure: their places go, as
+    packs of three, to a group of this task's own, and the part gets the hash without a place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = parts + TaskContext.get().partitionId()
         for b in batches:
-            hashes, uids, places = [], [], []
-            for uid, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist(), strict=True):
+            hashes, places, sizes = [], [], []
+            for text in b.column("text").to_pylist():
                 h, at, _, _ = anchors(np.frombuffer(text.encode(), np.uint8), length, gram)
                 hashes.append(h)
                 places.append(at)
-                uids.append(np.full(len(h), uid, np.int64))
-            if not hashes:
+                sizes.append(len(h))
+            if not sum(sizes):
                 continue
-            h = np.concatenate(hashes)
-            columns = [h, np.concatenate(uids), np.concatenate(places)]
-            found = list(_rows((h % np.uint64(parts)).astype(np.int64), parts, columns))
+            h, at = np.concatenate(hashes), np.concatenate(places)
+            doc, uid = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("doc", "uid"))
+            _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(count[which] > 1)
+            sent = np.where(count > 1, -1, at[first])
+            found = list(_rows((h[first] % np.uint64(parts)).astype(np.int64), parts, [h[first], doc[first], uid[first], sent]))
+            if len(again):
+                found.append((own, [doc[again], uid[again], at[again]]))
             arrays = [pa.array([p for p, _ in found], pa.int32()), pa.array([_pack(*c) for _, c in found], pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["part", "blobs"])
 
@@ -115,23 +128,31 @@ def _emit_anchors(parts: int, length: int, gram: int):
 
 
 def _again(t: pa.Table) -> pa.Table:
-    """(uid, position) of the anchors of a part that occur more than once."""
+    """(doc, uid, position) of the anchors of a part that occur more than once; what a task knew already passes."""
     blobs = t.column("blobs").to_pylist()
-    h = np.concatenate([_unpack(b[0], np.uint64) for b in blobs])
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    uid = np.concatenate([_unpack(b[1], np.int64) for b in blobs])[twice]
-    at = np.concatenate([_unpack(b[2], np.int64) for b in blobs])[twice]
-    return pa.table({"uid": pa.array(uid), "at": pa.array(at)})
+    known = [b for b in blobs if len(b) == 3]
+    columns = [[_unpack(b[i], np.int64) for b in known] for i in range(3)]
+    asked = [b for b in blobs if len(b) == 4]
+    if asked:
+        h = np.concatenate([_unpack(b[0], np.uint64) for b in asked])
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        rest = [np.concatenate([_unpack(b[i], np.int64) for b in asked])[twice] for i in (1, 2, 3)]
+        placed = rest[2] >= 0
+        for c, x in zip(columns, rest, strict=True):
+            c.append(x[placed])
+    return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("doc", "uid", "at"), columns, strict=True)})
 
 
 def _emit_regions(parts: int, length: int, gram: int):
-    """Regions around repeated anchors; equal ones of a batch once, with the earliest place, the others as places alone."""
+    """Regions around repeated anchors, the earliest of equal ones to their part; the spans of the others, known to go,
+    as packs of four, to a group of this task's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = parts + TaskContext.get().partitionId()
         for b in batches:
             keys, docs, uids, starts, windows, texts = [], [], [], [], [], []
             for doc, uid, text, hit in zip(*(b.column(c).to_pylist() for c in ("doc", "uid", "text", "at")), strict=True):
@@ -154,12 +175,15 @@ def _emit_regions(parts: int, length: int, gram: int):
             for i in order.tolist():
                 if seen.setdefault(texts[i], i) == i:
                     full[i] = True
-            part = (_mix(key) % np.uint64(parts)).astype(np.int64)
+            one = np.flatnonzero(full)
+            part = (_mix(key[one]) % np.uint64(parts)).astype(np.int64)
             found = []
-            for p, (rows,) in _rows(part, parts, [np.arange(len(key))]):
-                one, more = rows[full[rows]], rows[~full[rows]]
-                body = np.frombuffer(b"".join([texts[i] for i in one]), np.uint8)
-                found.append((p, _pack(doc[one], uid[one], start[one], n[one], body, uid[more], start[more], n[more])))
+            for p, (rows,) in _rows(part, parts, [one]):
+                body = np.frombuffer(b"".join([texts[i] for i in rows]), np.uint8)
+                found.append((p, _pack(doc[rows], uid[rows], start[rows], n[rows], body)))
+            if not full.all():
+                more = ~full
+                found.append((own, _pack(doc[more], uid[more], start[more], start[more] + n[more] + length - 1)))
             arrays = [pa.array([p for p, _ in found], pa.int32()), pa.array([c for _, c in found], pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["part", "blobs"])
 
@@ -284,48 +308,56 @@ def equal_windows(texts: np.ndarray, sizes: np.ndarray, windows: np.ndarray, len
 
 
 def _find(length: int):
+    """(doc, uid, s, e): spans to remove, of the regions of a part, and those that a task knew already."""
+
     def run(t: pa.Table) -> pa.Table:
         blobs = t.column("blobs").to_pylist()
-        doc, uid, start, n = (np.concatenate([_unpack(b[i], np.int64) for b in blobs]) for i in range(4))
-        body = np.concatenate([_unpack(b[4], np.uint8) for b in blobs])
-        uids, starts, ends = [np.concatenate([_unpack(b[5], np.int64) for b in blobs])], [np.concatenate([_unpack(b[6], np.int64) for b in blobs])], []
-        ends.append(starts[0] + np.concatenate([_unpack(b[7], np.int64) for b in blobs]) + length - 1)
-        # equal regions of several batches: the earliest stays to be sorted
-        begin = np.concatenate([[0], np.cumsum(n + length - 1)])
-        raw = body.tobytes()
-        order = np.lexsort((start, uid, doc))
-        seen: set[bytes] = set()
-        full = np.zeros(len(n), bool)
-        for i in order.tolist():
-            piece = raw[begin[i] : begin[i + 1]]
-            if piece not in seen:
-                seen.add(piece)
-                full[i] = True
-        more = np.flatnonzero(~full)
-        uids.append(uid[more])
-        starts.append(start[more])
-        ends.append(start[more] + n[more] + length - 1)
-        some = np.flatnonzero(full)
-        keep = np.repeat(full, n + length - 1)
-        number, region, offset = equal_windows(body[keep], n[some] + length - 1, n[some], length)
-        region = some[region]
-        by = np.lexsort((start[region] + offset, uid[region], doc[region], number))
-        number, region, offset = number[by], region[by], offset[by]
-        later = np.r_[False, number[1:] == number[:-1]] if len(number) else np.zeros(0, bool)
-        region, offset = region[later], offset[later]
-        by = np.lexsort((offset, region))
-        region, offset = region[by], offset[by]
-        if len(region):  # runs of windows
-            cut = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (offset[1:] != offset[:-1] + 1)])
-            stop = np.r_[cut[1:], len(region)] - 1
-            uids.append(uid[region[cut]])
-            starts.append(start[region[cut]] + offset[cut])
-            ends.append(start[region[cut]] + offset[stop] + length)
-        return pa.table({"uid": pa.array(np.concatenate(uids)), "s": pa.array(np.concatenate(starts)), "e": pa.array(np.concatenate(ends))})
+        known = [b for b in blobs if len(b) == 4]
+        out = [[_unpack(b[i], np.int64) for b in known] for i in range(4)]
+        blobs = [b for b in blobs if len(b) == 5]
+        if blobs:
+            for c, x in zip(out, _later(blobs, length), strict=True):
+                c.append(x)
+        return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("doc", "uid", "s", "e"), out, strict=True)})
 
     return run
 
 
+def _later(blobs: list[list[bytes]], length: int) -> list[np.ndarray]:
+    """doc, uid, start and end of all spans of windows that also start earlier."""
+    doc, uid, start, n = (np.concatenate([_unpack(b[i], np.int64) for b in blobs]) for i in range(4))
+    body = np.concatenate([_unpack(b[4], np.uint8) for b in blobs])
+    # equal regions of several batches: the earliest stays to be sorted
+    begin = np.concatenate([[0], np.cumsum(n + length - 1)])
+    raw = body.tobytes()
+    seen: set[bytes] = set()
+    full = np.zeros(len(n), bool)
+    for i in np.lexsort((start, uid, doc)).tolist():
+        piece = raw[begin[i] : begin[i + 1]]
+        if piece not in seen:
+            seen.add(piece)
+            full[i] = True
+    more = np.flatnonzero(~full)
+    out = [[doc[more]], [uid[more]], [start[more]], [start[more] + n[more] + length - 1]]
+    some = np.flatnonzero(full)
+    keep = np.repeat(full, n + length - 1)
+    number, region, offset = equal_windows(body[keep], n[some] + length - 1, n[some], length)
+    region = some[region]
+    by = np.lexsort((start[region] + offset, uid[region], doc[region], number))
+    number, region, offset = number[by], region[by], offset[by]
+    later = np.r_[False, number[1:] == number[:-1]] if len(number) else np.zeros(0, bool)
+    region, offset = region[later], offset[later]
+    by = np.lexsort((offset, region))
+    region, offset = region[by], offset[by]
+    if len(region):  # runs of windows
+        cut = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (offset[1:] != offset[:-1] + 1)])
+        stop = np.r_[cut[1:], len(region)] - 1
+        at = region[cut]
+        for c, x in zip(out, (doc[at], uid[at], start[at] + offset[cut], start[at] + offset[stop] + length), strict=True):
+            c.append(x)
+    return [np.concatenate(c) for c in out]
+
+
 def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         columns: list[list] = [[] for _ in range(5)]
@@ -353,7 +385,8 @@ def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    single, maybe = exact_dedup.split_by_digest(rows, F.sha2("text", 256), "doc_id", exact_dedup.MAX_FILTER_BITS, [F.col("text")])
+    parted = exact_dedup.split_by_digest(rows, F.sha2("text", 256), "doc_id", [F.col("text")])
+    single, maybe = (part.withColumn("text_sha256", F.lower(F.hex("_sha"))).drop("_sha") for part in parted)
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     narrow = maybe.select(order.alias("doc"), "doc_id", "text_sha256", F.octet_length("text").cast("long").alias("n_bytes"))
     groups = narrow.groupBy("text_sha256").agg(F.min("doc").alias("doc"))
@@ -361,24 +394,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     firsts = counted.join(groups, ["text_sha256", "doc"])
     later = counted.join(groups, ["text_sha256", "doc"], "left_anti")
     reps = maybe.withColumn("doc", order).join(firsts.select("text_sha256", "doc", "rows"), ["text_sha256", "doc"]).dropDuplicates(["text_sha256"])
-    uid = F.xxhash64("doc_id", "text_sha256").alias("uid")
-    columns = ["doc_id", "doc", "text", "text_sha256", "rows"]
+    uid = F.when(F.col("doc_id").isNull(), F.xxhash64("text_sha256")).otherwise(F.hash("text_sha256").cast("long")).alias("uid")
+    key, columns = ["doc", "uid"], ["doc_id", "doc", "text", "text_sha256", "rows"]
     base = single.withColumn("doc", order).withColumn("rows", F.lit(1)).select(uid, *columns).unionByName(reps.select(uid, *columns))
 
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, size // (ANCHORS_PER_PART * (length - gram) // 2))
-    emitted = base.select("uid", "text").mapInArrow(_emit_anchors(parts, length, gram), "part int, blobs array<binary>")
-    again = emitted.groupBy("part").applyInArrow(_again, "uid long, at long")
-    hits = materialise(again.groupBy("uid").agg(F.collect_list("at").alias("at")), "repeated-anchors")  # a document's own
-    wide = materialise(base.join(hits, "uid"), "documents-with-repeats")
+    emitted = base.select(*key, "text").mapInArrow(_emit_anchors(parts, length, gram), "part int, blobs array<binary>")
+    again = emitted.groupBy("part").applyInArrow(_again, "doc long, uid long, at long")
+    hits = materialise(again.groupBy(*key).agg(F.collect_list("at").alias("at")), "repeated-anchors")  # a document's own
+    wide = materialise(base.join(hits, key), "documents-with-repeats")
     n_hits = hits.agg(F.sum(F.size("at"))).first()[0] or 0
-    cut = wide.select("doc", "uid", "text", "at").mapInArrow(_emit_regions(max(8, n_hits // REGIONS_PER_PART), length, gram), "part int, blobs array<binary>")
-    found = cut.groupBy("part").applyInArrow(_find(length), "uid long, s long, e long")
-    spans = found.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    cut = wide.select(*key, "text", "at").mapInArrow(_emit_regions(max(8, n_hits // REGIONS_PER_PART), length, gram), "part int, blobs array<binary>")
+    found = cut.groupBy("part").applyInArrow(_find(length), "doc long, uid long, s long, e long")
+    spans = found.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    touched = wide.select("uid", "doc_id", "text", "rows").join(spans, "uid", "left").select("doc_id", "text", "spans", "rows").mapInArrow(_remaining, schema)
-    whole = base.select("uid", "doc_id", "rows", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text_sha256").alias("kept_sha256"))
-    untouched = whole.join(hits.select("uid"), "uid", "left_anti").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    touched = wide.select(*key, "doc_id", "text", "rows").join(spans, key, "left").select("doc_id", "text", "spans", "rows").mapInArrow(_remaining, schema)
+    whole = base.select(*key, "doc_id", "rows", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text_sha256").alias("kept_sha256"))
+    untouched = whole.join(hits.select(*key), key, "left_anti").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     none = F.lit(0).cast("long")
     gone = F.col("n_bytes") >= length
     copies = later.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
