@@ -1,18 +1,22 @@
 """Quality classification by naive-Bayes support vectors.
 
-A text's features are indicators of the n-grams (one to three) of its word forms: every word is written as classes of
-characters, with its punctuation as it stands, and marked where it repeats the word before; a further indicator tells
-that a line occurs again. Indicators are scaled by the log ratio of their smoothed counts in the two classes, and a
-linear hinge-loss model is fitted on them by dual coordinate descent. Margins become scores through a logistic curve
-fitted on held-back folds.
-
-The model learns from at most ``max_labelled`` labelled rows (the smallest crc32 of the id, then the id): the bound is a
-parameter, and the only thing that is not taken over all data. Scores cover every whole text.
+A text's features are indicators of n-grams, in three views: words, lower-cased with their punctuation (one and two in a
+row); three-character n-grams of its words; and word forms, where every word is written as classes of characters, with
+its punctuation as it stands, and marked where it repeats the word before (one to three in a row). A further indicator
+tells that a line occurs again. All are hashed, whole words and whole texts. Indicators that fewer than ``least``
+labelled rows hold are no evidence and count nothing. The others are scaled by the log ratio of their smoothed counts in
+the two classes and by the square root of their view's size in the text, and a linear hinge-loss model is fitted on them
+by dual coordinate descent. Margins become scores through a logistic curve fitted on held-back folds.
+
+The model learns from at most ``max_labelled`` labelled rows, those of the smallest xxhash64 of the id, then the id, and
+of these only as many as hold ``max_slots`` features together, so the driver's memory is bounded however long texts are:
+both are parameters, and the only thing that is not taken over all data. Scores cover every whole text.
 
 Defined cases: null texts count as empty; empty texts have no features and score by the bias; labels that are null or
-not 0/1 are ignored; repeated label rows of one document count once, and a document with both labels counts as 0; with
-no labels, or labels of one class only, every score is the smoothed share of that class (0.5 without any); an empty table
-gives an empty result; extra columns are ignored by ``score`` and carried by ``keep_good``.
+not 0/1 are ignored; repeated label rows of one document count once, and a document with both labels counts as 0; rows
+that repeat a labelled id teach once, the least of their features; with no labels, or labels of one class only, every
+score is the smoothed share of that class (0.5 without any); an empty table gives an empty result; extra columns are
+ignored by ``score`` and carried by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -24,17 +28,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_crc, worker_cache
+from tessera.llm.common import discard, id_crc, materialise, worker_cache
 from tessera.llm.linear_svm import fit_dual, fit_sigmoid, sigmoid
 
-BUCKETS = 1 << 18
+WORD_SLOTS, FORM_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 18, 1 << 16
+BUCKETS = WORD_SLOTS + FORM_SLOTS + CHAR_SLOTS
+VIEWS = np.array([0, WORD_SLOTS, WORD_SLOTS + FORM_SLOTS, BUCKETS])
 MAX_LABELLED = 20_000
-CACHE = 300_000
+MAX_SLOTS = 40_000_000
+LEAST = 3
+CACHE = 200_000
 _RUN = re.compile(r"a+|A+|0+|(.)\1{2,}")
-_slots: dict[tuple, int] = {}
+_MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_AGAIN = WORD_SLOTS + FORM_SLOTS - 1
 
 
 class _Classes(dict):
@@ -48,50 +58,77 @@ _CLASSES = _Classes()
 
 
 def word_form(word: str) -> str:
-    return _RUN.sub(lambda m: m[0][0] if m[1] is None else m[0][:3], word.translate(_CLASSES))[:24]
+    return _RUN.sub(lambda m: m[0][0] if m[1] is None else m[0][:3], word.translate(_CLASSES))
+
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
 
-def _slot(gram: tuple) -> int:
-    return zlib.crc32("\x01".join(gram).encode("utf-8", "surrogatepass")) % BUCKETS
+
+def _known(word: str) -> tuple[int, int, np.ndarray]:
+    """(hash of the word, hash of its form, slots of its character n-grams)."""
+    low = f"<{word.lower()}>"
+    raw = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    chars = _mix((raw[:-2] * _STEP + raw[1:-1]) * _STEP + raw[2:]) % np.uint64(CHAR_SLOTS)
+    return (
+        xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")),
+        xxhash.xxh3_64_intdigest(word_form(word).encode("utf-8", "surrogatepass")),
+        np.unique(chars).astype(np.int32) + np.int32(VIEWS[2]),
+    )
 
 
 def features(text: str) -> np.ndarray:
-    """Sorted distinct feature slots of a text."""
+    """Sorted distinct feature slots of a text: words, forms, characters, each view in its own range."""
     words = text.split()
     if not words:
         return np.zeros(0, np.int32)
-    known = worker_cache("word forms", CACHE)
-    if len(_slots) > CACHE:
-        _slots.clear()
-    for w in set(words).difference(known):
-        known[w] = word_form(w)
-    forms = list(map(known.__getitem__, words))
-    forms = [f + "=" if w == v else f for f, w, v in zip(forms, words, ["", *words], strict=False)]
-    grams: set[tuple] = set(zip(forms)) | set(zip(forms, forms[1:])) | set(zip(forms, forms[1:], forms[2:]))  # noqa: B905
+    known = worker_cache("words of the quality model", CACHE)
+    distinct = set(words)
+    for w in distinct.difference(known):
+        known[w] = _known(w)
+    facts = [known[w] for w in words]
+    h = np.fromiter((f[0] for f in facts), np.uint64, len(words))
+    form = np.fromiter((f[1] for f in facts), np.uint64, len(words))
+    form[1:][h[1:] == h[:-1]] += np.uint64(1)  # a word that repeats the one before
+    word = np.concatenate([_mix(h), _mix(h[:-1] * _STEP + h[1:])]) % np.uint64(WORD_SLOTS)
+    two = form[:-1] * _STEP + form[1:]
+    forms = np.concatenate([_mix(form), _mix(two), _mix(two[:-1] * _STEP + form[2:])]) % np.uint64(FORM_SLOTS - 1)
     lines = [x for x in text.split("\n") if x.strip()]
-    if len(set(lines)) < len(lines):
-        grams.add(("line", "again"))
-    for g in grams.difference(_slots):
-        _slots[g] = _slot(g)
-    return np.unique(np.fromiter(map(_slots.__getitem__, grams), np.int32, len(grams)))
+    again = [_AGAIN] if len(set(lines)) < len(lines) else []
+    return np.concatenate([
+        np.unique(word).astype(np.int32), np.unique(forms).astype(np.int32) + np.int32(VIEWS[1]), np.array(again, np.int32),
+        np.unique(np.concatenate([known[w][2] for w in distinct])),
+    ])
+
 
+def values(slots: np.ndarray) -> np.ndarray:
+    """What an indicator counts: one over the square root of its view's size in the text."""
+    sizes = np.diff(np.searchsorted(slots, VIEWS))
+    return np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes).astype(np.float32)
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, c: float) -> tuple[np.ndarray, float]:
+
+def _fit(rows: list[np.ndarray], labels: np.ndarray, c: float, least: int) -> tuple[np.ndarray, float]:
     up, down = np.ones(BUCKETS), np.ones(BUCKETS)
     for slots, label in zip(rows, labels, strict=True):
         (up if label > 0 else down)[slots] += 1
     n_up = max(1, int((labels > 0).sum()))
     n_down = max(1, int((labels <= 0).sum()))
-    ratio = np.log((up / (n_up + 1)) / (down / (n_down + 1)))
-    ratio[(up == 1) & (down == 1)] = 0.0  # never seen: no evidence
-    examples = [(s, ratio[s] / np.sqrt(max(1, len(s)))) for s in rows]
+    ratio = np.log((up / (n_up + 1)) / (down / (n_down + 1))).astype(np.float32)
+    ratio[up + down < 2 + least] = 0.0  # hardly ever seen: no evidence
+    examples = []
+    for slots in rows:
+        weight = ratio[slots] * values(slots)
+        some = np.flatnonzero(weight)
+        examples.append((slots[some], weight[some]))
     cost = np.where(labels > 0, c * len(labels) / (2 * n_up), c * len(labels) / (2 * n_down))
     w, bias = fit_dual(examples, labels, BUCKETS, cost)
     return w * ratio, bias
 
 
 def _margins(w: np.ndarray, bias: float, rows: list[np.ndarray]) -> np.ndarray:
-    return np.array([w[s].sum() / np.sqrt(max(1, len(s))) + bias for s in rows])
+    return np.array([float(w[s] @ values(s)) + bias for s in rows])
 
 
 @dataclass
@@ -100,31 +137,34 @@ class Fitted:
     bias: float
     slope: float
     shift: float
+    held: np.ndarray  # slots that count as evidence
 
     def score(self, slots: np.ndarray) -> float:
-        margin = float(self.weights[slots].sum()) / max(1, len(slots)) ** 0.5 + self.bias
+        slots = slots[self.held[slots]]
+        margin = float(self.weights[slots] @ values(slots)) + self.bias
         return float(sigmoid(self.slope * margin + self.shift))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, folds: int = 3) -> Fitted:
+def train(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, c: float = 1.0, folds: int = 3, least: int = LEAST) -> Fitted:
+    """rows: slots of each labelled text, of those in ``held``."""
     up = int((labels > 0).sum())
     if up in (0, len(labels)):
         share = (up + 1) / (len(labels) + 2)
-        return Fitted(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
-    held = np.zeros(len(labels))
+        return Fitted(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))), held)
+    margins = np.zeros(len(labels))
     fold = np.arange(len(labels)) % folds
     for k in range(folds):
         part = np.flatnonzero(fold != k)
-        w, bias = _fit([rows[i] for i in part], labels[part], c)
+        w, bias = _fit([rows[i] for i in part], labels[part], c, least)
         rest = np.flatnonzero(fold == k)
-        held[rest] = _margins(w, bias, [rows[i] for i in rest])
-    slope, shift = fit_sigmoid(held, labels)
-    w, bias = _fit(rows, labels, c)
-    return Fitted(w.astype(np.float32), float(bias), slope, shift)
+        margins[rest] = _margins(w, bias, [rows[i] for i in rest])
+    slope, shift = fit_sigmoid(margins, labels)
+    w, bias = _fit(rows, labels, c, least)
+    return Fitted(w.astype(np.float32), float(bias), slope, shift, held)
 
 
 def labelled_sample(labels: DataFrame, label_col: str, where: Column, max_labelled: int) -> DataFrame:
-    """At most max_labelled rows (doc_id, label) of known labels, by the smallest crc32 of the id, then the id."""
+    """At most max_labelled rows (doc_id, label) of known labels, by the smallest xxhash64 of the id, then the id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).where(where)
     one = known.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -137,15 +177,47 @@ def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "slots"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", where: Column | None = None, max_labelled: int = MAX_LABELLED) -> Fitted:
+def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n): how many rows of a part hold each slot."""
+    n = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        for x in b.column("slots").to_pylist():
+            n[np.frombuffer(x, np.int32)] += 1
+    slot = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[slot])], names=["slot", "n"])
+
+
+def _only(held: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [(x := np.frombuffer(v, np.int32))[held[x]].tobytes() for v in b.column("slots").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(kept, pa.binary())], names=["doc_id", "label", "slots"])
+
+    return run
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", where: Column | None = None,
+    max_labelled: int = MAX_LABELLED, max_slots: int = MAX_SLOTS, least: int = LEAST,
+) -> Fitted:
     """Fit on the labelled documents among those that ``where`` (over doc_id) admits."""
     sample = labelled_sample(labels, label_col, F.lit(True) if where is None else where, max_labelled)
     # max_labelled rows of two numbers: small enough to broadcast by that bound
     rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("doc_id", "label", "text").mapInArrow(_slots_of, "doc_id long, label int, slots binary")
-    got = sorted((r[0], r[1], bytes(r[2])) for r in found.dropDuplicates(["doc_id"]).collect())
-    got.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
-    return train([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got]))
+    made = rows.select("doc_id", "label", "text").mapInArrow(_slots_of, "doc_id long, label int, slots binary")
+    once = materialise(made.groupBy("doc_id", "label").agg(F.min("slots").alias("slots")), "labelled-slots")
+    # evidence is counted where the rows are; of slots that too few rows hold, none travels
+    counts = once.mapInArrow(_held_by, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    held = np.zeros(BUCKETS, bool)
+    held[counts.select("slot").toArrow().column("slot").to_numpy()] = True
+    sizes = once.select("doc_id", (F.length("slots") / 4).alias("n"))
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_labelled rows at most
+    some = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= max_slots).select("doc_id")
+    got = once.join(F.broadcast(some), "doc_id").mapInArrow(_only(held), "doc_id long, label int, slots binary").toArrow()
+    discard(once)
+    ids, found, y = (got.column(c).to_pylist() for c in ("doc_id", "slots", "label"))
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
+    return train([np.frombuffer(found[i], np.int32) for i in order], np.array([y[i] for i in order]), held, least=least)
 
 
 def _scored(model: Fitted):
