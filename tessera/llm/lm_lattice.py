@@ -1,21 +1,27 @@
 """Subword lattice likelihood of documents.
 
 Tokens are words and one end per document. A word's probability is the sum over every path through its lattice: arcs are
-the pieces of an existing vocabulary, whose scores (ranks) give the prior weight of each piece, and one arc for the
-whole word where the training documents hold it. A forward recursion in log space sums all segmentations; a backward one
-gives expected piece counts, with which a few steps of expectation-maximisation fit the piece weights of each class to the
-distinct words of the training documents. Word arcs carry discounted counts, and the discount is the weight of the subword paths, so probabilities of
-all words sum to one. Documents are a mixture over a few classes seen in training (their languages): the marginal
-probability of a text sums over classes as well; a text's own class is no input.
+the pieces of an existing vocabulary and one arc for the whole word where the training documents hold it. A forward
+recursion in log space sums all segmentations.
+
+Piece weights: a vocabulary of log probabilities gives them as they are; one whose scores are ranks gives rank r the
+Zipf weight 1 / (10 + r). Every piece that can occur within a word counts, of any length (pieces with a blank inside
+can't). These given weights keep a fixed share, ``GIVEN``, in every class and at every size of the corpus; the rest is
+fitted to the distinct training words of the class by ``steps`` of expectation-maximisation, for which a backward
+recursion gives expected piece counts. With no steps the given weights stand alone. Word arcs carry discounted counts,
+(count - d) / N, and the discount, d V / N, is the share of the subword paths, so probabilities of all words sum to one.
+Documents are a mixture over classes seen in training (their languages, the ``max_classes`` most frequent ones and one
+for all others): the marginal probability of a text sums over classes as well; a text's own class is no input.
 
 Counts never meet in one place: every batch of documents sends its distinct words, with counts, to parts by hash; a part
-merges them, and sends each batch the word scores it asked for, in the batch's own order. The driver sees the number of
-tokens and types per class and at most one count per vocabulary piece.
+merges them, and sends each batch the word scores it asked for, in the batch's own order. Parts grow with the square
+root of the documents, as distinct words do, so that messages stay fewer than words. The driver sees the number of
+tokens and types per class and at most one count per class and vocabulary piece.
 
 Defined cases: null texts count as empty, which has one token, the end; without training documents every count is zero,
 scores come from subword paths alone, and the base score is that of N = V = 0; an empty table gives an empty result;
-repeated rows are scored alike, null ids and classes included; words of any length are scored whole; extra columns are
-ignored.
+repeated rows are scored alike, null ids and classes included; words of any length are scored whole, in logarithms
+throughout, long ones one by one (their expected counts are taken by stretches); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +39,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
-MAX_CLASSES = 7
-BATCH_CHARS = 24_000_000
-DOCS_PER_PART = 4000
-MAX_PIECE = 16
+MAX_CLASSES = 63
+BATCH_CHARS = 12_000_000
+ROOTS_PER_PART = 6  # documents to the power of a half, for each part
 EM_STEPS = 3
-PRIOR_WEIGHT = 100.0
+GIVEN = 0.2
+LONG = 256  # bytes from which words are scored one by one
 ELSEWHERE = 0.05  # share of a class's unknown words that the corpus as a whole knows
 LOG10 = math.log(10.0)
 
@@ -74,7 +80,7 @@ class Pieces:
     keys: np.ndarray
     ids: np.ndarray
     logp: np.ndarray
-    longest: int
+    lengths: list[int]
 
     def find(self, key: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, key)
@@ -93,34 +99,36 @@ def _hash(piece: bytes) -> int:
 
 
 def load_pieces(model_file: str) -> Pieces:
-    """Pieces of a sentencepiece vocabulary with Zipf weights from their scores, which are ranks; bytes as a last resort."""
+    """Pieces of a sentencepiece vocabulary with the weights that its scores give; bytes as a last resort."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=model_file)
+    own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    ranks = all(float(model.get_score(i)).is_integer() for i in own)
     weight: dict[bytes, float] = {bytes([b]): 1e-7 for b in range(256)}
-    for i in range(model.get_piece_size()):
-        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
-            continue
-        raw = model.id_to_piece(i).replace("▁", " ").encode("utf-8")
-        if raw.rfind(b" ") <= 0 and len(raw) <= MAX_PIECE:
-            weight[raw] = weight.get(raw, 0.0) + 1.0 / (10.0 - model.get_score(i))
+    for i in own:
+        raw = model.id_to_piece(i).replace("\u2581", " ").encode("utf-8")
+        if raw.rfind(b" ") <= 0:
+            weight[raw] = weight.get(raw, 0.0) + (1.0 / (10.0 - model.get_score(i)) if ranks else math.exp(model.get_score(i)))
     names = sorted(weight)
     p = np.array([weight[n] for n in names])
     keys = np.array([_hash(n) for n in names], np.uint64)
     order = np.argsort(keys)
-    return Pieces(keys[order], order.astype(np.int64), np.log(p / p.sum()), max(map(len, names)))
+    return Pieces(keys[order], order.astype(np.int64), np.log(p / p.sum()), sorted(set(map(len, names))))
 
 
 def _arcs(codes: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, int, np.ndarray]]:
     """(start, end, piece ids or -1) of every span of words of one length; codes: one row of bytes + 1 per word."""
-    n = codes.shape[1]
+    n, known = codes.shape[1], set(pieces.lengths)
     for i in range(n):
         h = None
-        for j in range(i + 1, min(n, i + pieces.longest) + 1):
+        for j in range(i + 1, min(n, i + pieces.lengths[-1]) + 1):
             size = np.uint64(j - i)
             if h is None:
                 h = np.zeros(len(codes), np.uint64)
             h = h * _BASE + codes[:, j - 1]
+            if j - i not in known:
+                continue
             # the length is folded in as the hash's start value, times the base to the power of the length
             start = np.uint64((int(size) * pow(int(_BASE), int(size), 1 << 64)) & 0xFFFFFFFFFFFFFFFF)
             yield i, j, pieces.find(h + start)
@@ -133,10 +141,15 @@ def forward(words: list[bytes], pieces: Pieces, logp: np.ndarray, totals: np.nda
     """
     out = np.full((len(logp), len(words)), -np.inf)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for length in np.unique(lengths):
+    for i in np.flatnonzero(lengths > LONG):
+        out[:, i] = _forward_long(words[i], pieces, logp)
+        if totals is not None:  # by stretches, as if each were a word's inside
+            inner = [words[i][k : k + LONG] for k in range(0, len(words[i]), LONG)]
+            forward(inner, pieces, logp, totals)
+    for length in np.unique(lengths[lengths <= LONG]):
         every = np.flatnonzero(lengths == length)
         n = int(length) + 1
-        step = max(1, 2_000_000 // (n * pieces.longest * len(logp)))
+        step = max(1, 2_000_000 // (n * len(pieces.lengths) * len(logp)))
         for k in range(0, len(every), step):
             some = every[k : k + step]
             raw = b"".join([b" " + words[i] for i in some])
@@ -165,6 +178,31 @@ def forward(words: list[bytes], pieces: Pieces, logp: np.ndarray, totals: np.nda
     return out
 
 
+def _forward_long(word: bytes, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
+    """The same sum for one long word: hits of every piece length at once, then one running sum over places."""
+    codes = np.frombuffer(b" " + word, np.uint8).astype(np.uint64) + np.uint64(1)
+    n, ends, h = len(codes), [], np.zeros(len(codes), np.uint64)
+    for size in range(1, min(n, pieces.lengths[-1]) + 1):
+        h = h[: n - size + 1] * _BASE + codes[size - 1 :]
+        if size in pieces.lengths:
+            start = np.uint64((size * pow(int(_BASE), size, 1 << 64)) & 0xFFFFFFFFFFFFFFFF)
+            ids = pieces.find(h + start)
+            at = np.flatnonzero(ids >= 0)
+            ends.append(np.stack([at + size, at, ids[at]], axis=1))
+    arcs = np.concatenate(ends)
+    arcs = arcs[np.argsort(arcs[:, 0], kind="stable")]
+    cuts = np.searchsorted(arcs[:, 0], np.arange(n + 2))
+    alpha = np.full((n + 1, len(logp)), -np.inf)
+    alpha[0] = 0.0
+    for j in range(1, n + 1):
+        some = arcs[cuts[j] : cuts[j + 1]]
+        if len(some):
+            into = alpha[some[:, 1]] + logp[:, some[:, 2]].T
+            top = into.max(axis=0)
+            alpha[j] = top + np.log(np.exp(into - top).sum(axis=0))
+    return alpha[n]
+
+
 def _collect(parts: int, classes: list[str | None], model_classes: int):
     """Batches of documents: their term counts as one row, their distinct words with training counts as a row per part."""
     place = {c: i for i, c in enumerate(classes)}
@@ -280,21 +318,39 @@ def _expected(model_file: str, classes: int, logp: np.ndarray):
     return run
 
 
-def _fit_pieces(merged: DataFrame, model_file: str, classes: int) -> np.ndarray:
-    """Log piece weights per class: the vocabulary's own, then steps of expectation-maximisation over distinct words."""
-    prior = np.exp(load_pieces(model_file).logp)
-    logp = np.tile(np.log(prior), (classes, 1))
-    for _ in range(EM_STEPS):
+def _fit_pieces(merged: DataFrame, model_file: str, classes: int, steps: int) -> np.ndarray:
+    """Log piece weights per class: the given ones, then steps of expectation-maximisation for all but their share."""
+    given = np.exp(load_pieces(model_file).logp)
+    logp = np.tile(np.log(given), (classes, 1))
+    for _ in range(steps):
         found = merged.select("words", "counts").mapInArrow(_expected(model_file, classes, logp), "z int, piece int, x double")
         gained = np.zeros_like(logp)
         # at most one row per class and vocabulary piece, however large the corpus
         for z, piece, x in found.groupBy("z", "piece").agg(F.sum("x")).collect():
             gained[z, piece] = x
-        gained += PRIOR_WEIGHT * prior
-        logp = np.log(gained / gained.sum(axis=1, keepdims=True))
+        total = gained.sum(axis=1, keepdims=True)
+        logp = np.log(np.where(total > 0, GIVEN * given + (1 - GIVEN) * gained / np.maximum(total, 1e-300), given))
     return logp
 
 
+def word_scores(counts: np.ndarray, sub: np.ndarray, tokens: np.ndarray, types: np.ndarray, discount: float) -> np.ndarray:
+    """Log probability of words (rows) in each class, from their counts and their lattice sums (a row for each class).
+
+    types: distinct words of each class, and at the end of all. Everything stays in logarithms.
+    """
+    total = counts.sum(axis=1)
+    n, v = tokens.sum(), types[-1]
+    mean = np.logaddexp.reduce(sub, axis=0) - math.log(len(sub))
+    with np.errstate(divide="ignore"):
+        whole = np.logaddexp(np.log(np.maximum(total - discount, 0.0) / n), math.log(discount * v / n) + mean) if n else mean
+        out = np.empty(counts.shape)
+        for z in range(counts.shape[1]):
+            nz, vz = tokens[z], types[z]
+            back = np.logaddexp(math.log(1 - ELSEWHERE) + sub[z], math.log(ELSEWHERE) + whole)
+            out[:, z] = np.logaddexp(np.log(np.maximum(counts[:, z] - discount, 0.0) / nz), math.log(discount * vz / nz) + back) if nz else whole
+    return out
+
+
 def _replies(model_file: str, classes: int, logp: np.ndarray, tokens: np.ndarray, types: np.ndarray, discount: float):
     """For every word a batch asked a part for: its count, and its log10 probability in each class."""
 
@@ -304,21 +360,11 @@ def _replies(model_file: str, classes: int, logp: np.ndarray, tokens: np.ndarray
             for row in b.to_pylist():
                 words = _unpack_bytes(row["words"]).split(b"\n")
                 counts = _unpack(row["counts"], np.int64).reshape(-1, classes)
-                total = counts.sum(axis=1)
-                sub = np.exp(np.maximum(forward(words, pieces, logp), -600.0))
-                n, v = tokens.sum(), types[-1]
-                mean = sub.mean(axis=0)
-                whole = np.maximum(total - discount, 0.0) / n + discount * v / n * mean if n else mean
-                each = np.empty((len(words), classes), np.float32)
-                for z in range(classes):
-                    nz, vz = tokens[z], types[z]
-                    back = (1 - ELSEWHERE) * sub[z] + ELSEWHERE * whole
-                    p = np.maximum(counts[:, z] - discount, 0.0) / nz + discount * vz / nz * back if nz else whole
-                    each[:, z] = np.log10(np.maximum(p, 1e-300))
+                each = (word_scores(counts, forward(words, pieces, logp), tokens, types, discount) / LOG10).astype(np.float32)
                 asked = _unpack(row["asked"], np.int32)
-                ends = np.cumsum(_unpack(row["sizes"], np.int64))
-                out = [np.split(x[asked], ends[:-1]) for x in (total.astype(np.int32), each)]
                 ids = _unpack(row["batches"], np.int64)
+                ends = np.cumsum(_unpack(row["sizes"], np.int64))
+                out = [np.split(x[asked], ends[:-1]) for x in (counts.sum(axis=1).astype(np.int32), each)]
                 arrays = [pa.array(ids), pa.array([row["part"]] * len(ids), pa.int32()), pa.array([_pack(x) for x in out[0]], pa.binary()), pa.array([_pack(x) for x in out[1]], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["batch", "part", "counts", "scores"])
 
@@ -363,17 +409,19 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     class_col: str | None = "lang",
+    max_classes: int = MAX_CLASSES,
+    steps: int = EM_STEPS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, learning from rows where train."""
     kind = F.lit(None).cast("string") if class_col is None else F.col(class_col).cast("string")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), kind.alias("class")
     )
-    found = rows.where("train and class is not null").groupBy("class").count().orderBy(F.desc("count"), "class").limit(MAX_CLASSES).collect()
+    found = rows.where("train and class is not null").groupBy("class").count().orderBy(F.desc("count"), "class").limit(max_classes).collect()
     classes = [r[0] for r in found]
     n_rows = rows.count()
     k = len(classes) + 1
-    parts = max(8, n_rows // DOCS_PER_PART)
+    parts = max(8, math.isqrt(n_rows) // ROOTS_PER_PART)
     collected = materialise(
         rows.mapInArrow(_collect(parts, classes, k), "kind int, batch long, part int, blob binary, more array<binary>"), "lattice-batches"
     )
@@ -391,7 +439,7 @@ def score(
     n_train, v_train, once, twice = (int(x) for x in stat[2 * k :])
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
     tokens, types = stat[:k].astype(float), np.append(stat[k : 2 * k], v_train).astype(float)
-    logp = _fit_pieces(merged, model_file, k)
+    logp = _fit_pieces(merged, model_file, k, steps if n_train else 0)
     replies = merged.select("part", "words", "counts", "batches", "sizes", "asked").mapInArrow(
         _replies(model_file, k, logp, tokens, types, discount), "batch long, part int, counts binary, scores binary"
     )
