@@ -58,8 +58,8 @@ def fit_primal(x: np.ndarray, labels: np.ndarray, cost: np.ndarray, steps: int =
         gradient, hessian = ridge * w, np.diag(ridge)
         for b in blocks:
             inside = slack[b] > 0
-            part = np.column_stack([x[b][inside].astype(np.float64), np.ones(int(inside.sum()))])
-            c = cost[b][inside]
+            part = np.column_stack([x[b][inside], np.ones(int(inside.sum()), x.dtype)])  # sums in the kind of x
+            c = cost[b][inside].astype(x.dtype)
             gradient = gradient - 2 * part.T @ (c * slack[b][inside] * sign[b][inside])
             hessian += 2 * (part * c[:, None]).T @ part
         move = -np.linalg.solve(hessian, gradient)

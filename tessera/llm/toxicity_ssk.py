@@ -127,15 +127,17 @@ class Index:
             for row, line in zip(some, code, strict=True):
                 self.right[row] += np.bincount(self.column[line], weight, minlength=len(codes))
 
-    def kernel(self, units: list[str]) -> np.ndarray:
-        size, out = self.right.shape[1], np.zeros((len(units), len(self.right)))
+    def kernel(self, units: list[str], kind=np.float64) -> np.ndarray:
+        """Kernels of units with all landmarks; kind: of the numbers in its sums."""
+        size, out = self.right.shape[1], np.zeros((len(units), len(self.right)), kind)
+        right = np.ascontiguousarray(self.right.T, kind)
         for some, code, weight in _coded(units, self.alphabet, self.decay):
             for at in range(0, len(some), 128):
                 got = self.column[code[at : at + 128]]
                 got[code[at : at + 128] == 0] = -1
                 row, where = np.nonzero(got >= 0)
                 left = np.bincount(row * size + got[row, where], weight[where], minlength=len(got) * size)
-                out[some[at : at + 128]] = left.reshape(len(got), size) @ self.right.T
+                out[some[at : at + 128]] = left.reshape(len(got), size).astype(kind, copy=False) @ right
         return out
 
 
@@ -264,14 +266,15 @@ def _solve(landmarks: dict[str, int], units: list[str], labels: np.ndarray, cost
     index, norms = Index(names), np.sqrt(self_kernel(names))
 
     def sharp(some: list[str]) -> np.ndarray:
-        return np.maximum(index.kernel(some) / (np.sqrt(self_kernel(some))[:, None] * norms[None, :]), 0.0) ** POWER
+        return np.maximum(index.kernel(some, np.float32) / (np.sqrt(self_kernel(some))[:, None] * norms[None, :]), 0.0) ** POWER
 
     gram = sharp(names)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
+    root32 = root.astype(np.float32)
     features = np.empty((len(units), len(names)), np.float32)  # filled by blocks, to spare the driver's memory
     for i in range(0, len(units), 2048):
-        features[i : i + 2048] = sharp(units[i : i + 2048]) @ root
+        features[i : i + 2048] = sharp(units[i : i + 2048]).astype(np.float32) @ root32
     w, bias = fit_primal(features, labels, cost)
     group = np.array([landmarks[n] for n in names])
     scaled = index.right / norms[:, None]
