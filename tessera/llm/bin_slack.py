@@ -7,6 +7,11 @@ length left, and a bitset subset-sum program over the available lengths finds th
 is removed as often as the counts allow. The plan is a list of rank ranges per length (bounded by the capacity too), by
 which every piece finds its sequence and offset from its own rank, without any further exchange of texts.
 
+``pack`` plans over the whole corpus, for the fewest sequences. ``pack_in_order`` keeps an order of the rows, such as a
+mix of sources: rows are taken in stretches of ``stretch_rows`` consecutive ones, each planned by itself in one task from
+ids and lengths alone, and sequences are numbered by stretch, so a prefix of the sequences is a prefix of the order up to
+one stretch; each stretch may leave one sequence short.
+
 Defined cases: a null text counts as empty and takes one token, the end id; an empty table gives an empty result; equal
 lengths are interchangeable, so ties are settled by partition and row order; repeated rows are separate documents;
 extra columns are ignored.
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, worker_cache
@@ -30,7 +35,9 @@ from tessera.llm.common import materialise, worker_cache
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 400_000
+STRETCH_ROWS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Controls that str.split() takes as white space and the vocabulary's own pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Punctuation that may follow a word of letters.
@@ -114,7 +121,8 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _cut(path: str, capacity: int, end_id: int):
+def _cut(path: str, capacity: int, end_id: int, ordered: bool = False):
+    """Pieces of documents, numbered by length within this task; or, if ordered, with the row's stretch and place in it."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +131,18 @@ def _cut(path: str, capacity: int, end_id: int):
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             texts = [t or "" for t in batch.column("text").to_pylist()]
+            places = zip(batch.column("stretch").to_pylist(), batch.column("nth").to_pylist(), strict=True) if ordered else None
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_all(texts), strict=True):
                 ids += end
                 total = len(ids) // 4
+                stretch, nth = next(places) if ordered else (part, None)
                 for piece, start in enumerate(range(0, total, capacity)):
                     length = min(capacity, total - start)
-                    row = (doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, int(seen[length]))
+                    row = (doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), stretch, nth if ordered else int(seen[length]))
                     seen[length] += 1
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64() if ordered else pa.int32(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
@@ -217,5 +227,33 @@ def pack(
     earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = by_part.select("_part", "length", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     placed = pieces.join(before, ["_part", "length"])
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return placed.mapInArrow(_place(plan(counts, capacity), capacity), schema)
+    return placed.mapInArrow(_place(plan(counts, capacity), capacity), PACKED)
+
+
+def _stretch(capacity: int):
+    """One stretch: its pieces, in order, planned and placed."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_rank", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        length = t.column("length").to_numpy()
+        rank = np.zeros(len(length), np.int64)  # of a piece among those of its length
+        order = np.argsort(length, kind="stable")
+        size, first, count = np.unique(length[order], return_index=True, return_counts=True)
+        rank[order] = np.arange(len(length)) - np.repeat(first, count)
+        batch = t.combine_chunks().to_batches()[0].drop_columns(["_rank"]).append_column("_rank", pa.array(rank)).append_column("_before", pa.array(np.zeros(len(rank), np.int64)))
+        placed = next(_place(plan(dict(zip(size.tolist(), count.tolist(), strict=True)), capacity), capacity)(iter([batch])))
+        number = pa.array(placed.column("sequence_id").to_numpy() + (t.column("_part")[0].as_py() << 24))
+        return pa.Table.from_batches([placed]).set_column(5, "sequence_id", number)
+
+    return run
+
+
+def pack_in_order(
+    docs: DataFrame, tokenizer_path: str, file_number: Column, row_number: Column, stretch_rows: int = STRETCH_ROWS,
+    capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """As pack, with sequence_id in the order of the rows: by file_number, then row_number (from 0) within the file."""
+    stretch = F.shiftleft(file_number.cast("long"), 22) + F.floor(row_number / stretch_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), stretch.alias("stretch"), row_number.cast("long").alias("nth"))
+    pieces = rows.mapInArrow(_cut(tokenizer_path, capacity, end_id, True), PIECES.replace("_part int", "_part long"))
+    return pieces.groupBy("_part").applyInArrow(_stretch(capacity), PACKED)
