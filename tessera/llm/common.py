@@ -22,14 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local master gets one temporary folder of this
+    process; a cluster is refused, as its executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if "folder" not in _local:
+            _local["folder"] = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        found = _local["folder"]
     return found.rstrip("/")
 
 
+_local: dict[str, str] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -92,4 +92,39 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, text_sha256
         from t window w as (partition by text_sha256)""",
+    "op4_embedding_near_dedup": """
+        with recursive e as (
+          select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+          where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+              where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93),
+        n as (select a, count(*) as n_links from l group by 1),
+        reach(a, b) as (select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+        c as (select a, min(b) as least from reach group by 1)
+        select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(least, vec_id)) as component_id, vec_id <= coalesce(least, vec_id) as kept
+        from embeddings left join n on n.a = vec_id left join c on c.a = vec_id""",
+    "op8_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+        w as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as w from (select doc_id, h, unnest(range(n - 99)) as i from d where n >= 100)),
+        r as (select doc_id, i from w qualify row_number() over (partition by w order by doc_id, i) > 1),
+        g as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as island
+              from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as fresh from r)),
+        s as (select doc_id, island, min(i) as s, max(i) + 100 as e from g group by 1, 2),
+        k as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as after from s),
+        t as (select doc_id, sum(e - s) as n_removed, count(*) as n_spans, max(e) as stop, string_agg(substr(h, 2 * after + 1, 2 * (s - after)), '' order by s) as head
+              from k join d using (doc_id) group by 1)
+        select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+               sha256(unhex(case when t.doc_id is null then h else coalesce(head, '') || substr(h, 2 * stop + 1) end)) as kept_sha256
+        from d left join t using (doc_id)""",
+    "op10_minhash_near_dedup": f"""
+        with recursive w as (select doc_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+        u as (select doc_id, len(s) as n, unnest(s) as x from s),
+        p as (select a.doc_id as a, b.doc_id as b from u a join u b on a.x = b.x and a.doc_id < b.doc_id
+              group by 1, 2 having 100 * count(*) >= 75 * (max(a.n) + max(b.n) - count(*))),
+        l as (select a, b from p union all select b, a from p),
+        reach(a, b) as (select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+        c as (select a, min(b) as least from reach group by 1)
+        select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(least, doc_id)) as component_id, doc_id <= coalesce(least, doc_id) as kept
+        from s left join c on c.a = doc_id""",
 }
