@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import bin_slack, exact_dedup, minhash_fss, pfair, quality_nbsvm
 from tessera.llm.common import id_crc, materialise, table
@@ -32,13 +33,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that interleaves the sources at their target weights."""
+    """All documents, in the order that interleaves the sources at their target weights: the order of the files, by their
+    numbers, and of the rows in them."""
     return pfair.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences of at most 4096 tokens."""
-    return bin_slack.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    """Pieces of documents, packed into sequences of at most 4096 tokens, stretch by stretch in the order of the mix, so a
+    prefix of the sequences holds the sources at their target weights."""
+    file = docs.metadataColumn("_metadata")
+    number = F.regexp_extract(file["file_name"], "part-([0-9]+)", 1).cast("long")
+    return bin_slack.pack_in_order(docs, tokenizer_file("word_bpe_49k.json"), F.coalesce(number, F.lit(0)), file["row_index"])
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
