@@ -43,7 +43,7 @@ MAX_CLASSES = 63
 BATCH_CHARS = 12_000_000
 ROOTS_PER_PART = 6  # documents to the power of a half, for each part
 EM_STEPS = 3
-GIVEN = 0.2
+GIVEN = 0.1
 LONG = 256  # bytes from which words are scored one by one
 ELSEWHERE = 0.05  # share of a class's unknown words that the corpus as a whole knows
 LOG10 = math.log(10.0)

@@ -1,7 +1,7 @@
 """Quality classification by naive-Bayes support vectors.
 
 A text's features are indicators of n-grams, in three views: words, lower-cased with their punctuation (one and two in a
-row); three-character n-grams of its words; and word forms, where every word is written as classes of characters, with
+row); three-character n-grams, blanks for white space; and word forms, where every word is written as classes of characters, with
 its punctuation as it stands, and marked where it repeats the word before (one to three in a row). A further indicator
 tells that a line occurs again. All are hashed, whole words and whole texts. Indicators that fewer than ``least``
 labelled rows hold are no evidence and count nothing. The others are scaled by the log ratio of their smoothed counts in
@@ -41,7 +41,7 @@ VIEWS = np.array([0, WORD_SLOTS, WORD_SLOTS + FORM_SLOTS, BUCKETS])
 MAX_LABELLED = 20_000
 MAX_SLOTS = 40_000_000
 LEAST = 3
-CACHE = 200_000
+CACHE = 300_000
 _RUN = re.compile(r"a+|A+|0+|(.)\1{2,}")
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = WORD_SLOTS + FORM_SLOTS - 1
@@ -67,40 +67,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _known(word: str) -> tuple[int, int, np.ndarray]:
-    """(hash of the word, hash of its form, slots of its character n-grams)."""
-    low = f"<{word.lower()}>"
-    raw = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    chars = _mix((raw[:-2] * _STEP + raw[1:-1]) * _STEP + raw[2:]) % np.uint64(CHAR_SLOTS)
-    return (
-        xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")),
-        xxhash.xxh3_64_intdigest(word_form(word).encode("utf-8", "surrogatepass")),
-        np.unique(chars).astype(np.int32) + np.int32(VIEWS[2]),
-    )
-
-
 def features(text: str) -> np.ndarray:
     """Sorted distinct feature slots of a text: words, forms, characters, each view in its own range."""
     words = text.split()
     if not words:
         return np.zeros(0, np.int32)
+    low = " ".join(words).lower()
     known = worker_cache("words of the quality model", CACHE)
-    distinct = set(words)
-    for w in distinct.difference(known):
-        known[w] = _known(w)
-    facts = [known[w] for w in words]
-    h = np.fromiter((f[0] for f in facts), np.uint64, len(words))
-    form = np.fromiter((f[1] for f in facts), np.uint64, len(words))
+    for w in set(words).difference(known):
+        known[w] = (xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "surrogatepass")), xxhash.xxh3_64_intdigest(word_form(w).encode("utf-8", "surrogatepass")))
+    both = np.array([known[w] for w in words], np.uint64)
+    h, form = both[:, 0], both[:, 1].copy()
     form[1:][h[1:] == h[:-1]] += np.uint64(1)  # a word that repeats the one before
     word = np.concatenate([_mix(h), _mix(h[:-1] * _STEP + h[1:])]) % np.uint64(WORD_SLOTS)
     two = form[:-1] * _STEP + form[1:]
     forms = np.concatenate([_mix(form), _mix(two), _mix(two[:-1] * _STEP + form[2:])]) % np.uint64(FORM_SLOTS - 1)
+    raw = np.frombuffer(f" {low} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    chars = _mix((raw[:-2] * _STEP + raw[1:-1]) * _STEP + raw[2:]) % np.uint64(CHAR_SLOTS)
     lines = [x for x in text.split("\n") if x.strip()]
     again = [_AGAIN] if len(set(lines)) < len(lines) else []
-    return np.concatenate([
-        np.unique(word).astype(np.int32), np.unique(forms).astype(np.int32) + np.int32(VIEWS[1]), np.array(again, np.int32),
-        np.unique(np.concatenate([known[w][2] for w in distinct])),
-    ])
+    return np.concatenate([_distinct(word, 0), _distinct(forms, 1), np.array(again, np.int32), _distinct(chars, 2)])
+
+
+def _distinct(slots: np.ndarray, view: int) -> np.ndarray:
+    """Sorted distinct slots in the range of their view."""
+    slots = np.sort(slots.astype(np.int32))
+    return slots[np.r_[True, slots[1:] != slots[:-1]]] + np.int32(VIEWS[view])
 
 
 def values(slots: np.ndarray) -> np.ndarray:
