@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import vault_hash
-from tessera.operators.relational import anti, newest
+from tessera.operators.relational import anti
 
 
 def bridge(staged: DataFrame, resolutions: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
@@ -60,16 +60,23 @@ def load_link(sources: list[DataFrame], key: str, ends: list[str], target: DataF
 def load_satellite(
     staged: DataFrame, key: str, columns: list[str], effective: str, target: DataFrame | None = None
 ) -> DataFrame:
-    """Versions whose hashdiff differs from the one before, by effective date; versions already held are suppressed."""
-    rows = staged.select(key, "hashdiff", *columns, effective, "load_datetime", "record_source")
-    order = Window.partitionBy(key).orderBy(effective, "load_datetime", "hashdiff")
+    """Versions to append: those whose hashdiff differs from the version just before them, by effective date.
+
+    Held and staged versions are laid in one order per key, so late and backdated ones are compared with their own
+    predecessor, not with the newest; staged ones that the target holds already (key, hashdiff, effective date) are no
+    news, whatever stands between. Loading a stage again adds nothing.
+    """
+    rows = staged.select(key, "hashdiff", *columns, effective, "load_datetime", "record_source").withColumn("_held", F.lit(False))
     if target is not None:
-        rows = anti(rows, target, [key, "hashdiff", effective])
-        held = newest(target.select(key, F.col("hashdiff").alias("held"), F.col(effective).alias("held_from")), [key], ["held_from", "held"])
-        rows = rows.join(held, key, "left")
-        before = F.coalesce(F.lag("hashdiff").over(order), F.col("held"))
-        return rows.withColumn("_before", before).where("_before is null or _before <> hashdiff").drop("_before", "held", "held_from")
-    return rows.withColumn("_before", F.lag("hashdiff").over(order)).where("_before is null or _before <> hashdiff").drop("_before")
+        rows = target.select(*rows.columns[:-1]).withColumn("_held", F.lit(True)).unionByName(rows)
+    same = Window.partitionBy(key, effective, "hashdiff")
+    order = Window.partitionBy(key).orderBy(effective, F.desc("_held"), "load_datetime", "hashdiff")
+    known = F.max("_held").over(same)
+    before = F.lag("hashdiff").over(order)
+    # a staged copy of a held version must not stand between others, so copies go before neighbours are compared
+    rows = rows.withColumn("_known", known).where("_held or not _known")
+    fresh = rows.withColumn("_before", before).where("not _held and (_before is null or _before <> hashdiff)")
+    return fresh.drop("_before", "_held", "_known")
 
 
 def crosswalk_history(seed: DataFrame, labels: DataFrame, resolved: DataFrame, external: str, known: DataFrame, value: str, unknown: str = "UNKNOWN") -> DataFrame:
