@@ -33,10 +33,12 @@ def conform_flows(flows: DataFrame, types: dict[str, str], outgoing: list[str],
 def xirr(flows: DataFrame, key: str, date: str = "flow_date", amount: str = "signed_amount") -> DataFrame:
     """(key, xirr): the yearly rate at which discounted flows cancel, by bisection inside one expression.
 
-    One shuffle gathers an entity's flows in date order; the halvings run over that array, so plans stay small. Null
+    Flows are added up by entity and day first, before the shuffle, so the array that a second one gathers is bounded by
+    days, not by flows; the halvings run over that array, so plans stay small. Null
     where both ends of the bracket have one sign, or the rate ends within the guard of a bound.
     """
-    first = flows.groupBy(key).agg(F.min(date).alias("_first"), F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(amount).cast("double").alias("a")))).alias("_f"))
+    daily = flows.groupBy(key, date).agg(F.sum(amount).cast("double").alias("a"))
+    first = daily.groupBy(key).agg(F.min(date).alias("_first"), F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), "a"))).alias("_f"))
 
     def npv(rate: Column) -> Column:
         year = lambda x: F.datediff(x["d"], F.col("_first")) / F.lit(365.0)

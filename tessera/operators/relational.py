@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def top1(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key under a total order: one aggregate with partial combine, no window over hot keys.
-
-    ``order`` holds sort expressions; a window serves where they mix directions, as struct comparison cannot.
+    """The first row of each key under sort expressions, which may mix directions: a window, so all rows of a key meet in
+    one task. Where the order is ascending in all its columns, ``newest`` combines before the shuffle instead.
     """
     ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_nth = 1").drop("_nth")

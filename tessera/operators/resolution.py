@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import (
@@ -48,13 +48,21 @@ def ranked_keys(candidates: DataFrame, entity: str, ranked: list[str]) -> DataFr
     )
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a table in the shared checkpoint folder; a local folder only where none is named."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-er-")
-    path = f"{base.rstrip('/')}/er-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one only on a local master, where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-er-")
+    return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/er-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -63,16 +71,16 @@ def components(edges: DataFrame) -> DataFrame:
     A lower label goes to the record that the old label names too, so whole trees are hooked; labels only fall, so rounds
     end by themselves.
     """
-    pairs = _written(edges.select("record", "identifier").where("record is not null and identifier is not null").distinct())
-    labels = _written(pairs.groupBy("record").agg(F.min("record").alias("label")))
+    pairs = written(edges.select("record", "identifier").where("record is not null and identifier is not null").distinct())
+    labels = written(pairs.groupBy("record").agg(F.min("record").alias("label")))
     while True:
         by_id = pairs.join(labels, "record").groupBy("identifier").agg(F.min("label").alias("least"))
         near = pairs.join(by_id, "identifier").groupBy("record").agg(F.min("least").alias("least"))
-        own = _written(labels.join(near, "record").select("record", F.col("label").alias("old"), F.least("label", "least").alias("l")))
+        own = written(labels.join(near, "record").select("record", F.col("label").alias("old"), F.least("label", "least").alias("l")))
         given = own.where("l < old").groupBy(F.col("old").alias("_root")).agg(F.min("l").alias("_given"))
-        hooked = _written(own.join(given, own["record"] == given["_root"], "left").select("record", "old", F.least("l", "_given").alias("l")))
+        hooked = written(own.join(given, own["record"] == given["_root"], "left").select("record", "old", F.least("l", "_given").alias("l")))
         up = hooked.select(F.col("record").alias("_r"), F.col("l").alias("_l"))
-        step = _written(hooked.join(up, hooked["l"] == up["_r"]).select("record", "old", F.least("l", "_l").alias("label")))
+        step = written(hooked.join(up, hooked["l"] == up["_r"]).select("record", "old", F.least("l", "_l").alias("label")))
         moved = step.where("label <> old").limit(1).count()
         labels = step.select("record", "label")
         if not moved:
@@ -80,7 +88,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def transitive(records: DataFrame, entity: str, ranked: list[str], record: str = "record") -> DataFrame:
-    """Records that share any identifier, over any chain, as one cluster; its key is the least value of its best rank.
+    """Records that share any identifier, over any chain, as one cluster; its key is the least value of its best rank, with
+    the identifier's name, so that equal values of two kinds of identifier don't give two clusters one key.
 
     Records without an identifier stay unresolved.
     """
@@ -102,7 +111,7 @@ def transitive(records: DataFrame, entity: str, ranked: list[str], record: str =
         F.col("best.value").alias("exact_key"), "match_row_count", "match_source_count",
     )
     out = records.withColumnRenamed(record, "record").join(key, "record", "left")
-    return out.withColumn("golden_key", F.when(F.col("exact_key").isNotNull(), stable_golden_key(entity, F.col("exact_key"))))
+    return out.withColumn("golden_key", F.when(F.col("exact_key").isNotNull(), stable_golden_key(entity, F.concat_ws("|", "exact_key_type", "exact_key"))))
 
 
 def tier_label(prefixed: str) -> Column:
@@ -124,45 +133,72 @@ class Scoring:
     blocks: list[str] = field(default_factory=list)
 
 
-def candidate_pairs(pending: DataFrame, config: Scoring, same_source: bool = False) -> DataFrame:
-    """Best counterpart of every pending record: entity_type, source_system, source_id, name, sector, day, value.
+_COMPARED = ["entity_type", "source_system", "source_id", "name", "sector", "day", "value"]
+_RECORD = ["entity_type", "source_system", "source_id"]
 
-    Pairs are of one type and different sources (or different ids where ``same_source``). ``blocks`` are expressions
-    that a pair must share one of; without any, every pair of a type is scored, as the declared estate does.
-    """
-    columns = ["entity_type", "source_system", "source_id", "name", "sector", "day", "value"]
-    left = pending.select(*[F.col(c).alias(f"l_{c}") for c in columns])
-    right = pending.select(*[F.col(c).alias(f"r_{c}") for c in columns])
+
+def _best_of(left: DataFrame, right: DataFrame, on: Column, config: Scoring, same_source: bool) -> DataFrame:
+    """Best counterpart of every left record among the right ones that meet it."""
     apart = F.col("l_source_system") != F.col("r_source_system")
     if same_source:
         apart = apart | (F.col("l_source_id") != F.col("r_source_id"))
-    typed = F.col("l_entity_type") == F.col("r_entity_type")
-    if config.blocks:
-        keys = F.array_distinct(F.array_compact(F.array(*[F.expr(b).cast("string") for b in config.blocks])))
-        marked = pending.withColumn("block", F.explode(keys))
-        left = marked.select(*[F.col(c).alias(f"l_{c}") for c in columns], F.col("block").alias("l_block"))
-        right = marked.select(*[F.col(c).alias(f"r_{c}") for c in columns], F.col("block").alias("r_block"))
-        typed = typed & (F.col("l_block") == F.col("r_block"))
-    else:  # every record meets its whole type, one share of the left side in a task
-        dealt = F.pmod(F.xxhash64("l_source_system", "l_source_id"), F.lit(TILES)).cast("int")
-        left = left.withColumn("l_tile", dealt)
-        right = right.withColumn("r_tile", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
-        typed = typed & (F.col("l_tile") == F.col("r_tile"))
-    met = left.join(right, typed & apart)
+    met = left.join(right, on & (F.col("l_entity_type") == F.col("r_entity_type")) & apart)
     score = composite_score([
         (string_similarity(F.col("l_name"), F.col("r_name")), config.name),
         (categorical_match(F.col("l_sector"), F.col("r_sector")), config.sector),
         (date_proximity(F.col("l_day"), F.col("r_day"), config.days), config.date),
         (value_proximity(F.col("l_value"), F.col("r_value"), config.share), config.value),
     ])
-    scored = met.select(
-        F.col("l_entity_type").alias("entity_type"), F.col("l_source_system").alias("source_system"), F.col("l_source_id").alias("source_id"),
-        F.col("r_source_system").alias("matched_system"), F.col("r_source_id").alias("matched_id"), score.alias("score"),
-    )
-    # the highest score, then the least system, then the least id: one aggregate instead of a window over all pairs
+    scored = met.select(*[F.col(f"l_{c}").alias(c) for c in _RECORD], F.col("r_source_system").alias("matched_system"), F.col("r_source_id").alias("matched_id"), score.alias("score"))
+    return _first(scored.where("score is not null"))
+
+
+def _first(scored: DataFrame) -> DataFrame:
+    """The highest score, then the least system, then the least id: one aggregate instead of a window over all pairs."""
     best = F.min(F.struct((-F.col("score")).alias("s"), "matched_system", "matched_id")).alias("b")
-    out = scored.where("score is not null").groupBy("entity_type", "source_system", "source_id").agg(best)
-    return out.select("entity_type", "source_system", "source_id", "b.matched_system", "b.matched_id", (-F.col("b.s")).alias("score"))
+    return scored.groupBy(*_RECORD).agg(best).select(*_RECORD, "b.matched_system", "b.matched_id", (-F.col("b.s")).alias("score"))
+
+
+def candidate_pairs(pending: DataFrame, config: Scoring, same_source: bool = False) -> DataFrame:
+    """Best counterpart of every pending record: entity_type, source_system, source_id, name, sector, day, value.
+
+    Pairs are of one type and different sources (or different ids where ``same_source``). The result is that of scoring
+    every pair of a type, but pairs that can't win are not made: records meet those of equal name and sector first, then
+    those of their sector, then all others of their type, and a record goes on only while its best score so far doesn't
+    exceed what the pairs left could reach. Names that differ cost at least one edit, so a pair loses the name's weight
+    over the longer length; another sector loses the sector's weight. Missing parts only lower these bounds.
+
+    ``blocks`` are expressions that a pair must share one of; with these, only such pairs are scored.
+    """
+    left = pending.select(*[F.col(c).alias(f"l_{c}") for c in _COMPARED])
+    right = pending.select(*[F.col(c).alias(f"r_{c}") for c in _COMPARED])
+    if config.blocks:
+        keys = F.array_distinct(F.array_compact(F.array(*[F.expr(b).cast("string") for b in config.blocks])))
+        marked = pending.withColumn("block", F.explode(keys))
+        left, right = (marked.select(*[F.col(c).alias(f"{p}_{c}") for c in _COMPARED], F.col("block").alias(f"{p}_block")) for p in "lr")
+        return _best_of(left, right, F.col("l_block") == F.col("r_block"), config, same_source)
+
+    total = config.name + config.sector + config.date + config.value
+    other_sector = 1 - config.sector / total
+    other_name = F.greatest(1 - F.lit(config.name / total) / (F.coalesce(F.length("l_name"), F.lit(0)) + 1), F.lit(other_sector))
+
+    def undecided(best: DataFrame, bound: Column) -> DataFrame:
+        """Left records whose best score the pairs left might still reach."""
+        held = best.select(*[F.col(c).alias(f"l_{c}") for c in _RECORD], "score")
+        keys = [f"l_{c}" for c in _RECORD]
+        return left.join(held, keys, "left").where(F.col("score").isNull() | (F.col("score") <= bound + 1e-9)).select(left.columns)
+
+    def sector(side: str) -> Column:
+        return F.upper(F.trim(f"{side}_sector"))
+
+    same_sector = sector("l") == sector("r")
+    best = written(_best_of(left, right, (F.col("l_name") == F.col("r_name")) & same_sector, config, same_source))
+    best = written(_first(best.unionByName(_best_of(undecided(best, other_name), right, same_sector, config, same_source))))
+    # what is left meets its whole type, one share of the left side in a task
+    dealt = undecided(best, F.lit(other_sector)).withColumn("l_tile", F.pmod(F.xxhash64("l_source_system", "l_source_id"), F.lit(TILES)).cast("int"))
+    tiled = right.withColumn("r_tile", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
+    far = ~F.coalesce(same_sector, F.lit(False))
+    return _first(best.unionByName(_best_of(dealt, tiled, (F.col("l_tile") == F.col("r_tile")) & far, config, same_source)))
 
 
 def route(pending: DataFrame, pairs: DataFrame, config: Scoring) -> DataFrame:
@@ -220,6 +256,29 @@ def unresolved(resolved: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def pending_set(resolved: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """Records of every entity that exact keys left pending, with the columns that candidates are scored on."""
+    out = None
+    for entity, df in resolved.items():
+        part = df.where("is_pending_probabilistic").select(F.lit(entity).alias("entity_type"), *columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def live_overlay(queue: DataFrame, log: DataFrame) -> DataFrame:
+    """A materialised review queue with the decisions logged since: the latest one on each unordered pair of a type.
+
+    queue: entity_type, source_system, source_id, matched_system, matched_id; log: entity_type, low, high, decision,
+    reviewed_at, with low and high as system:id.
+    """
+    here, there = F.concat_ws(":", "source_system", "source_id"), F.concat_ws(":", "matched_system", "matched_id")
+    paired = queue.drop("decision", "status").withColumn("pair_low", F.least(here, there)).withColumn("pair_high", F.greatest(here, there))
+    sides = log.withColumn("pair_low", F.least("low", "high")).withColumn("pair_high", F.greatest("low", "high"))
+    latest = newest(sides.select("entity_type", "pair_low", "pair_high", "decision", "reviewed_at"), ["entity_type", "pair_low", "pair_high"], ["reviewed_at", "decision"])
+    out = paired.join(latest, ["entity_type", "pair_low", "pair_high"], "left")
+    return out.withColumn("status", F.when(F.col("decision").isNull(), "pending_review").otherwise("reviewed"))
+
+
 def convergence_faults(edges: DataFrame, comp: DataFrame) -> DataFrame:
     """Identifiers that two clusters share; none once labels have settled."""
     return edges.join(comp, "record").groupBy("identifier").agg(F.countDistinct("component").alias("n")).where("n > 1")
