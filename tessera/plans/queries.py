@@ -201,7 +201,7 @@ CHAIN = """
     comp as (select record, min(other) as component from reach group by 1),
     best as (select component, min(row(rank, value)) as best from ids join comp using (record) group by 1),
     size as (select component, count(*) as match_row_count, count(distinct source_system) as match_source_count from r join comp using (record) group by 1)
-    select record, component, match_row_count, match_source_count, best[2] as exact_key, md5('supplier|' || best[2]) as golden_key
+    select record, component, match_row_count, match_source_count, best[2] as exact_key, md5('supplier|' || case best[1] when 0 then 'first_id' else 'second_id' end || '|' || best[2]) as golden_key
     from comp join best using (component) join size using (component)""")
 def q06(spark, d):
     out = resolution.transitive(derived(spark, d, CHAIN), "supplier", ["first_id", "second_id"])
@@ -211,7 +211,7 @@ def q06(spark, d):
 PENDING = """
     select 'part' as entity_type, 'sys' || p_partkey % 3 as source_system, p_partkey as source_id,
            case when p_partkey % 7 = 0 then upper(p_name) else p_name || ' ' || cast(p_partkey % 50 as string) end as name, p_type as sector,
-           date_add(cast('2000-01-01' as date), cast(p_partkey % 400 as int)) as day, case when p_partkey % 11 <> 0 then p_retailprice end as value, p_brand as brand
+           date_add(cast('2000-01-01' as date), cast(p_partkey % 400 as int)) as day, case when p_partkey % 11 <> 0 then p_retailprice end as value
     from {part}"""
 DUCK_PENDING = plain(PENDING).replace("as string", "as varchar").replace("date_add(cast('2000-01-01' as date), cast(p_partkey % 400 as int))", "cast('2000-01-01' as date) + cast(p_partkey % 400 as integer)")
 SCORED = f"""
@@ -222,19 +222,16 @@ SCORED = f"""
                  greatest(0.0, 1.0 - abs(l.day - r.day) / 365.0) as s3,
                  case when l.value is null or r.value is null then null when l.value = 0 and r.value = 0 then 1.0
                       else greatest(0.0, 1.0 - abs(l.value - r.value) / (greatest(abs(l.value), abs(r.value), 1e-9) * 0.25)) end as s4
-          from p l join p r on l.entity_type = r.entity_type and l.source_system <> r.source_system and l.brand = r.brand),
+          from p l join p r on l.entity_type = r.entity_type and l.source_system <> r.source_system),
     c as (select *, round((cast(s1 as double) * 0.5 + cast(s2 as double) * 0.2 + cast(s3 as double) * 0.15 + coalesce(s4 * 0.15, 0.0)) / (0.85 + case when s4 is not null then 0.15 else 0.0 end), 9) as score from m),
     b as (select entity_type, source_system, source_id, matched_system, matched_id, score from c
           qualify row_number() over (partition by entity_type, source_system, source_id order by score desc, matched_system, matched_id) = 1)"""
-SCORING = resolution.Scoring(blocks=["brand"])
-#: Every pair of a type, as the surveyed operator scores them.
-SCORED_ALL = SCORED.replace(" and l.brand = r.brand", "")
-SCORING_ALL = resolution.Scoring()
+SCORING = resolution.Scoring()
 
 
-def pairs(spark, d, scoring=SCORING):
+def pairs(spark, d):
     pending = derived(spark, d, PENDING)
-    marked = resolution.candidate_pairs(pending, scoring)
+    marked = resolution.candidate_pairs(pending, SCORING)
     return pending, marked.withColumn("raw_score", F.col("score")).withColumn("score", F.round("score", 6))
 
 
@@ -252,20 +249,6 @@ def q08(spark, d):
     return resolution.route(pending, scored, SCORING).select("source_system", "source_id", "route")
 
 
-@query("q57_er_candidate_scores_all_pairs", f"""
-    with {SCORED_ALL} select entity_type, source_system, source_id, matched_system, matched_id, floor(score * 10000 + 0.000001) / 10000 as score from b""")
-def q57(spark, d):
-    return pairs(spark, d, SCORING_ALL)[1].select("entity_type", "source_system", "source_id", "matched_system", "matched_id", (F.floor(F.round("raw_score", 9) * 10000 + 0.000001) / 10000).alias("score"))
-
-
-@query("q58_er_tier2_routing_all_pairs", f"""
-    with {SCORED_ALL}, x as (select p.source_system, p.source_id, round(b.score, 6) as score from p left join b using (entity_type, source_system, source_id))
-    select source_system, source_id, case when score > 0.85 then 'auto' when score >= 0.65 then 'review' else 'reject' end as route from x""")
-def q58(spark, d):
-    pending, scored = pairs(spark, d, SCORING_ALL)
-    return resolution.route(pending, scored, SCORING_ALL).select("source_system", "source_id", "route")
-
-
 DECISIONS = """
     select 'sys' || s_suppkey % 3 || ':' || s_suppkey as low, 'sys' || (s_suppkey + 1) % 3 || ':' || (s_suppkey + 1) as high,
            case when s_suppkey % 2 = 0 then 'match' else 'distinct' end as decision, s_suppkey as reviewed_at from {supplier}
@@ -376,14 +359,30 @@ def q14(spark, d):
     return vault.load_satellite(satellite_stage(spark, d), "hub_customer_hk", ["status"], "effective").select("hub_customer_hk", "effective", "status")
 
 
+def satellite_news(stage: str) -> str:
+    """DuckDB: staged versions that differ from the one before them, held ones (w) and staged ones in one order."""
+    return f"""(select count(*) from (select *, lag(status) over (partition by o_custkey order by effective, held desc, {hashed("status")}) as prior
+        from (select *, 1 as held from w union all select s.*, 0 from ({stage}) s left join w using (o_custkey, status, effective) where w.status is null))
+        where held = 0 and (prior is null or prior <> status))"""
+
+
+LATE = "select o_custkey, case when effective % 3 = 0 then 'late' else status end as status, effective - 1 as effective from ({0}) where effective % 5 = 0"
+
+
 @query("q15_satellite_replay_noop", f"""
-    with {VERSIONS.format(plain(STATES))}, h as (select count(*) as held from v where prior is null or prior <> status)
-    select held, 0 as replayed from h""")
+    with {VERSIONS.format(plain(STATES))}, w as (select o_custkey, status, effective from v where prior is null or prior <> status)
+    select (select count(*) from w) as held, {satellite_news(LATE.format(plain(STATES)))} as late_added,
+           {satellite_news(f"select o_custkey, status, effective from ({plain(STATES)})")} as replayed""")
 def q15(spark, d):
+    """The whole stage loaded twice, with backdated versions between: the second time adds nothing."""
     rows = satellite_stage(spark, d)
+    late = derived(spark, d, LATE.format(STATES))
+    late = vault.stage(late, {"hub_customer_hk": ["o_custkey"]}, ["status"], "orders", loaded())
     held = vault.load_satellite(rows, "hub_customer_hk", ["status"], "effective")
-    again = vault.load_satellite(held, "hub_customer_hk", ["status"], "effective", held)
-    return held.agg(F.count(F.lit(1)).alias("held")).crossJoin(again.agg(F.count(F.lit(1)).cast("int").alias("replayed")))
+    added = vault.load_satellite(late, "hub_customer_hk", ["status"], "effective", held)
+    again = vault.load_satellite(rows, "hub_customer_hk", ["status"], "effective", held)
+    counts = [x.agg(F.count(F.lit(1)).alias(n)) for x, n in ((held, "held"), (added, "late_added"), (again, "replayed"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
 
 
 SATS = {
@@ -868,3 +867,6 @@ def q56(spark, d):
     e = t(spark, d, "events")
     new = relational.insert_only(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"])
     return new.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_new"))
+
+
+from tessera.plans import products  # noqa: E402, F401  registers its queries here

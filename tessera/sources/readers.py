@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 from collections.abc import Iterator
@@ -22,9 +23,19 @@ def seed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def deliveries(spark: SparkSession, path: str, max_bytes: int = codecs.Limits.payload_bytes) -> DataFrame:
-    """Delivered files as path, length, content; files over the limit come without content, so none is read into memory."""
+    """Delivered files as path, length, content; files over the limit come without content.
+
+    Two scans: the limit on the length is pushed into the one that reads contents, and the other reads none.
+    """
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    small = raw.where(F.col("length") <= max_bytes).select("path", "length", "content")
+    large = raw.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
+
+
+def _text(value: object) -> str:
+    """Values that JSON has no form for: bytes in base64, others as their text."""
+    return base64.b64encode(value).decode() if isinstance(value, bytes) else str(value)
 
 
 def decode(files: DataFrame, fields: list[codecs.Field], form: str, compressed: bool = False, limits: codecs.Limits = codecs.Limits()) -> DataFrame:
@@ -38,7 +49,7 @@ def decode(files: DataFrame, fields: list[codecs.Field], form: str, compressed:
                     if content is None:
                         raise codecs.DecodeError("PAYLOAD_TOO_LARGE")
                     data = codecs.gunzip(bytes(content), limits) if compressed else bytes(content)
-                    rows = [(path, at, None if row is None else json.dumps(row, default=str, sort_keys=True), fault) for at, row, fault in parse(data, fields)]
+                    rows = [(path, at, None if row is None else json.dumps(row, default=_text, sort_keys=True), fault) for at, row, fault in parse(data, fields)]
                 except codecs.DecodeError as e:
                     rows = [(path, e.locator or "file", None, e.code)]
                 yield pd.DataFrame(rows, columns=["path", "locator", "payload", "fault"])
@@ -54,7 +65,8 @@ def typed_rows(decoded: DataFrame, fields: list[codecs.Field]) -> DataFrame:
     out = decoded.where("fault is null")
     for f in fields:
         kind = f"decimal({f.precision},{f.scale})" if f.kind == "decimal" else kinds.get(f.kind, "string")
-        out = out.withColumn(f.name, F.get_json_object("payload", f"$.{f.name}").cast(kind))
+        value = F.get_json_object("payload", f"$.{f.name}")
+        out = out.withColumn(f.name, F.unbase64(value) if f.kind == "binary" else value.cast(kind))
     return out.drop("payload", "fault")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tessera.operators import bronze
+from tessera.operators.resolution import shared_folder
 from tessera.sources.readers import append_new
 
 
@@ -42,6 +44,19 @@ def hourly_rollup(events: DataFrame, delay: str | None = None) -> DataFrame:
     ).select(F.col("w.start").alias("hour_start"), "event_type", "n_events", "total_value")
 
 
+def roll_up_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """hourly_rollup run as a stream over the files that are there; its last state, as a table in the shared folder."""
+    base = shared_folder(spark) + f"/rollup-{uuid.uuid4().hex}"
+    state = hourly_rollup(file_stream(spark, path, schema))
+
+    def publish(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/state")
+
+    query = state.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(state.schema).parquet(f"{base}/state")
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete", shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what is there and give its result as a table in memory, for tests and small results."""
     out = shape(stream) if shape else stream
