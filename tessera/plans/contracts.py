@@ -62,18 +62,23 @@ def canonical_digest(value: object) -> str:
 
 
 def evolution(old: dict, new: dict) -> str:
-    """none, patch (words), minor (nullable columns added at the end, looser nulls), major (anything else), new_product."""
+    """none, patch (words), minor (columns added that may be null, other quality rules), major, new_product.
+
+    Columns are compared by name, so their order is no change; one that is gone, has another type or key, or may be null
+    where it might not, or the reverse, breaks what was agreed, as does a new one that every delivery must have.
+    """
     if old["id"] != new["id"]:
         return "new_product"
-    a, b = old["schema"][0]["properties"], new["schema"][0]["properties"]
-    core = lambda p: (p["name"], p.get("physicalType"), p.get("primaryKey", False))
-    if [core(p) for p in b[: len(a)]] != [core(p) for p in a]:
-        return "major"
-    if any(n.get("required") and not o.get("required") for o, n in zip(a, b, strict=False)) or any(p.get("required") for p in b[len(a) :]):
+    a, b = ({p["name"]: p for p in c["schema"][0]["properties"]} for c in (old, new))
+    core = lambda p: (p.get("physicalType"), p.get("logicalType"), bool(p.get("primaryKey")), bool(p.get("required")))
+    added = [b[n] for n in b if n not in a]
+    if any(n not in b or core(a[n]) != core(b[n]) for n in a) or any(p.get("required") for p in added):
         return "major"
-    if len(b) > len(a) or any(o.get("required") and not n.get("required") for o, n in zip(a, b, strict=False)):
+    rules = lambda p: sorted(json.dumps(q, sort_keys=True) for q in p.get("quality") or [])
+    if added or any(rules(a[n]) != rules(b[n]) for n in a):
         return "minor"
-    return "none" if {k: v for k, v in old.items() if k != "version"} == {k: v for k, v in new.items() if k != "version"} else "patch"
+    plain = lambda c, own: {**{k: v for k, v in c.items() if k not in ("version", "schema")}, "columns": own}
+    return "none" if plain(old, a) == plain(new, b) else "patch"
 
 
 def version_allows(old: str, new: str, change: str) -> bool:
@@ -100,6 +105,23 @@ class Table:
         return len(self.foreign) >= 2 and bool(self.primary) and set(self.primary) <= ends
 
 
+def declarations(tables: list[Table]) -> dict[str, dict]:
+    """What imported tables declare: hubs with their keys, links of junctions, edges of single foreign keys, seeds with a
+    type token per column, and checks."""
+    hubs, links, edges, seeds, checks = {}, {}, [], {}, []
+    for t in tables:
+        seeds[t.name] = {"columns": t.columns, "key": t.primary}
+        checks += [("not_null", t.name, [c]) for c, loose in t.nullable.items() if not loose]
+        checks += [("unique", t.name, u) for u in [t.primary, *t.unique] if u]
+        checks += [("relationships", t.name, [*own, to, *there]) for own, to, there in t.foreign]
+        if t.is_junction:
+            links[t.name] = {"ends": {to: own for own, to, _ in t.foreign}, "key": t.primary}
+        else:
+            hubs[t.name] = {"key": t.primary or (t.unique[0] if t.unique else list(t.columns)[:1])}
+            edges += [(t.name, own, to) for own, to, _ in t.foreign]
+    return {"hubs": hubs, "links": links, "edges": edges, "seeds": seeds, "checks": checks}
+
+
 _TOKENS = [
     (r"(big|small|tiny)?int(eger)?|serial|bigserial", "int"), (r"(decimal|numeric|number)\b.*|money", "numeric"), (r"float.*|double.*|real", "float"),
     (r"bool(ean)?", "boolean"), (r"date", "date"), (r".*", "string"),

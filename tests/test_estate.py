@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import bronze, facts, finance, graph, publication, quality, relational, resolution, semantic, survivorship, temporal, vault
 from tessera.plans import compile as plan
-from tessera.plans import contracts, queries
+from tessera.plans import contracts, policies, queries
 from tessera.sources import codecs, readers
 from tessera.streaming import ingest
 
@@ -113,6 +113,35 @@ def test_publication(spark):
     assert {tuple(r) for r in publication.rebuild(intents, intents.where("revision < 3 and stream = 's'")).collect()} == {("s", 2, "b")}
 
 
+def test_delivery_matrix():
+    good = policies.Delivery("append_only", "opaque_batch", record_key=["id"], on_error="publish_valid_rows", max_error_share="0.1")
+    assert policies.violations(good) == []
+    scope = {"scope": "all"}
+    snapshot = dict(deletes="snapshot_diff", snapshot={"scope": scope}, fingerprint_scope=scope, hmac_key="k", effective_field="at", record_key=["id"])
+    assert policies.violations(policies.Delivery("complete_snapshot", "opaque_batch", **snapshot)) == []
+    assert len(policies.violations(policies.Delivery("complete_snapshot", "sequence", **{**snapshot, "hmac_key": None, "effective_field": None}))) == 3
+    bad = policies.Delivery("cdc", "opaque_batch", "snapshot_diff", record_key=["a", "a"], max_error_share="0.5", late_minutes=(9, 9), age_minutes=(5, 4), retry_seconds=(9, 1))
+    assert len(policies.violations(bad)) == 10
+    assert policies.violations(policies.Delivery("mail", "x")) == ["unknown mode mail"]
+
+
+def test_plan_bindings_and_budgets():
+    steps = policies.execution_plan(["batch_transfer"])
+    assert sorted(steps) == sorted(policies.STEPS) and all(steps.index(b) < steps.index(s) for s, before in policies.STEPS.items() for b in before)
+    for bad in ("data_filtering", "surprise"):
+        with pytest.raises(ValueError):
+            policies.execution_plan([bad])
+    assert len({*policies.MANDATORY, *policies.OPTIONAL, *policies.FORBIDDEN}) == 15
+    tables = {"gold_c": ["hk", "id"], "hub_o": ["hk", "id"], "link": ["lk", "c", "o"]}
+    nodes, edges = policies.bind({"c": ("gold_c", "hk", "id")}, {"c": ("hub_c", "hk", "id"), "o": ("hub_o", "hk", "id")}, {"places": ("link", "lk", "c", "o", "c", "o")}, tables)
+    assert [(n.entity, n.origin) for n in nodes] == [("c", "golden"), ("o", "hub")] and edges[0].table == "link"
+    for links in ({"x": ("link", "lk", "c", "z", "c", "o")}, {"x": ("nowhere", "lk", "c", "o", "c", "o")}, {"x": ("link", "lk", "c", "o", "c", "q")}):
+        with pytest.raises(ValueError):
+            policies.bind({}, {"c": ("gold_c", "hk", "id"), "o": ("hub_o", "hk", "id")}, links, tables)
+    models = [policies.Model("a", [], "table"), policies.Model("b", ["a"], "view", interface=True), policies.Model("c", ["b"], "view", "x" * 300)]
+    assert policies.structure_faults(models, 1, 200) == [("view_boundary", "c", 1, 0), ("max_view_chain", "c", 2, 1), ("max_statement_bytes", "c", 300, 200)]
+
+
 def test_cron():
     from datetime import date
 
@@ -357,6 +386,12 @@ def test_contracts(spark):
     orders, links = contracts.import_ddl(ddl)
     assert orders.columns == {"id": "int", "total": "numeric", "placed": "date", "note": "string"} and orders.primary == ["id"] and not orders.is_junction
     assert links.is_junction and links.foreign[1] == (["p"], "parts", ["id"])
+    made = contracts.declarations([orders, links])
+    assert list(made["hubs"]) == ["orders"] and made["links"]["links"] == {"ends": {"orders": ["o"], "parts": ["p"]}, "key": ["o", "p"]}
+    assert ("unique", "orders", ["note"]) in made["checks"] and ("relationships", "links", ["p", "parts", "id"]) in made["checks"]
+    strict = contracts.contract(df, "p", "1.0.0", ["id"], {"name": ["not_null"]})
+    assert contracts.evolution(c, strict) == "minor" and contracts.evolution(c, {**c, "description": "x"}) == "patch"
+    assert contracts.evolution(c, contracts.contract(df, "p", "1.0.0", [])) == "major" and contracts.evolution(c, contracts.contract(df.select("name", "id"), "p", "1.0.0", ["id"])) == "none"
 
 
 def test_relational(spark):
