@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import joined_distinct, safe_divide, surrogate_key
 from tessera.operators.finance import CalculatedField
-from tessera.operators.relational import governance_gate, newest, top1
+from tessera.operators.relational import governance_gate, insert_only, newest, top1
 
 # How sources name flows, and what decisions make of a deal.
 CALLS = ["capital_call", "call", "contribution"]
@@ -41,6 +41,26 @@ def vehicle_flows(rows: DataFrame) -> DataFrame:
     return newest(out, ["vehicle_id", "cash_flow_id"], ["load_datetime"]).withColumn("vehicle_cash_flow_id", surrogate_key(F.col("vehicle_id"), F.col("cash_flow_id")))
 
 
+def vehicle_bridge(flows: DataFrame, owners: DataFrame, fund_flows: DataFrame) -> DataFrame:
+    """Per fund: what its vehicles' signed flows add up to, its own total, and the gap. owners: vehicle_id, fund_id;
+    flows: vehicle_id, signed_amount; fund_flows: fund_id, signed_amount. Sums come before both joins' results meet."""
+    below = flows.groupBy("vehicle_id").agg(F.sum("signed_amount").alias("part")).join(owners, "vehicle_id").groupBy("fund_id").agg(F.sum("part").alias("vehicle_total"))
+    own = fund_flows.groupBy("fund_id").agg(F.sum("signed_amount").alias("fund_total"))
+    return below.join(own, "fund_id", "left").withColumn("delta", F.col("vehicle_total") - F.col("fund_total"))
+
+
+def conservation_faults(bridge: DataFrame, tolerance: float = 50_000) -> DataFrame:
+    """Funds whose vehicles invent or lose cash beyond the tolerance, or that have no total of their own."""
+    return bridge.where(F.col("delta").isNull() | (F.abs("delta") > tolerance))
+
+
+def decision_insert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Logged decisions that target lacks, in its types: blank cells become nulls of the column's type; a logged decision
+    is never changed."""
+    typed = rows.select(*[F.nullif(F.trim(F.col(f.name).cast("string")), F.lit("")).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+    return insert_only(target, typed, keys)
+
+
 def succession_events(rows: DataFrame) -> DataFrame:
     """One event for each predecessor, successor and source event, the latest load."""
     out = newest(rows.withColumn("event_type", F.lower("event_type")), ["predecessor", "successor", "event_id"], ["load_datetime"])
@@ -88,11 +108,16 @@ def performance_base(funds: DataFrame, flows: DataFrame, fact: DataFrame, irr: D
     out = out.join(irr, "fund_id", "left").join(basis, "fund_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
-        "fund_id", "as_of", "paid_in", "distributed", zero("nav").alias("nav"), safe_divide(F.col("paid_in"), F.col("committed")).alias("called_pct"),
+        "fund_id", "as_of", "committed", "paid_in", "distributed", zero("nav").alias("nav"), safe_divide(F.col("paid_in"), F.col("committed")).alias("called_pct"),
         (F.col("committed") - F.col("paid_in")).alias("unfunded"), (F.col("paid_in") - zero("recallable") - zero("fee_offset")).alias("invested_capital"), "xirr",
     )
 
 
+def invested_multiple(base: DataFrame) -> DataFrame:
+    """moic: distributions and net asset value over invested capital, which is a basis of its own beside paid-in."""
+    return base.withColumn("moic", safe_divide(F.col("distributed") + F.col("nav"), F.col("invested_capital")))
+
+
 def order_lines(branches: dict[str, DataFrame], link: DataFrame, customers: DataFrame) -> DataFrame:
     """One row per source line: lines without a resolved product go, lines without a customer stay.
 

@@ -113,6 +113,35 @@ def test_publication(spark):
     assert {tuple(r) for r in publication.rebuild(intents, intents.where("revision < 3 and stream = 's'")).collect()} == {("s", 2, "b")}
 
 
+def test_expected_performance(spark):
+    """Flows and marks with known answers: calls of 5 and 2.5, distributions of 1.8 and 2.2, a last mark of 8.3 million."""
+    import datetime
+
+    at = datetime.date.fromisoformat
+    flows = spark.createDataFrame([("f", at("2021-09-30"), 5e6, 0.0), ("f", at("2022-09-30"), 2.5e6, 0.0), ("f", at("2023-09-30"), 0.0, 1.8e6), ("f", at("2024-09-30"), 0.0, 2.2e6), ("u", at("2024-09-30"), 1.0, 0.0)], "fund_id string, flow_date date, called double, distributed double")
+    marks = spark.createDataFrame([("f", "c", at("2025-06-30"), "m", "fund", "a", 14.9e6, 1.0, 1), ("f", "c", at("2025-09-30"), "m", "fund", "b", 9e6, 1.0, 1), ("f", "c", at("2025-09-30"), "m", "fund", "b", 8.3e6, 0.5, 2)], "fund_id string, company_id string, valuation_date date, method string, valuation_level string, source_valuation_id string, value double, confidence_score double, load_datetime int")
+    funds = spark.createDataFrame([("f", 1e7, 0.95), ("u", 1e7, 0.5)], "fund_id string, committed double, confidence double")
+    basis = spark.createDataFrame([("f", 7e5, 2e5)], "fund_id string, recallable double, fee_offset double")
+    fact = facts.valuation_fact(facts.valuations(marks))
+    rates = finance.xirr(facts.irr_flows(flows, fact, funds), "fund_id", "flow_date", "amount")
+    base = facts.performance_base(funds, flows, fact, rates, basis)
+    (row,) = facts.invested_multiple(finance.multiples(base)).collect()
+    assert (row["fund_id"], row["paid_in"], row["distributed"], row["nav"], row["invested_capital"], row["unfunded"]) == ("f", 7.5e6, 4e6, 8.3e6, 6.6e6, 2.5e6)
+    assert abs(row["tvpi"] - 1.64) < 1e-9 and abs(row["dpi"] - 4 / 7.5) < 1e-9 and abs(row["moic"] - 12.3 / 6.6) < 1e-9 and abs(row["xirr"] - 0.168881) < 1e-3
+
+
+def test_conservation_and_decisions(spark):
+    flows = spark.createDataFrame([("v1", 100.0), ("v2", -40.0), ("v3", 9.0)], "vehicle_id string, signed_amount double")
+    owners = spark.createDataFrame([("v1", "f"), ("v2", "f"), ("v3", "g")], "vehicle_id string, fund_id string")
+    own = spark.createDataFrame([("f", 61.0)], "fund_id string, signed_amount double")
+    bridge = facts.vehicle_bridge(flows, owners, own)
+    assert {r["fund_id"]: r["delta"] for r in bridge.collect()} == {"f": -1.0, "g": None}
+    assert [r["fund_id"] for r in facts.conservation_faults(bridge, 5).collect()] == ["g"]
+    held = spark.createDataFrame([("p1", "match", 1)], "pair string, decision string, score int")
+    logged = spark.createDataFrame([("p1", "distinct", "2"), ("p2", " ", "  "), ("p3", "defer", "7")], "pair string, decision string, score string")
+    assert sorted(map(tuple, facts.decision_insert(held, logged, ["pair"]).collect())) == [("p2", None, None), ("p3", "defer", 7)]
+
+
 def test_delivery_matrix():
     good = policies.Delivery("append_only", "opaque_batch", record_key=["id"], on_error="publish_valid_rows", max_error_share="0.1")
     assert policies.violations(good) == []
