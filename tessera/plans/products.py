@@ -67,12 +67,12 @@ def q59(spark, d):
 
 @query("q60_dpi_gap", f"""
     with {SURE}, f as (select fund_id, cast(sum(distributed) as double) / nullif(cast(sum(called) as double), 0) as dpi from m join s using (fund_id) group by 1)
-    select fund_id, round(cast(cast(1 - dpi as decimal(28,6)) as double), 5) as dpi_gap_to_one, dpi >= 1 as dpi_target_reached from f""")
+    select fund_id, cast(cast(1 - dpi as decimal(28,6)) as double) as dpi_gap_to_one, dpi >= 1 as dpi_target_reached from f""")
 def q60(spark, d):
     base = derived(spark, d, MOVES).groupBy("fund_id").agg(F.sum("called").cast("double").alias("paid_in"), F.sum("distributed").cast("double").alias("distributed"))
     sure = base.join(derived(spark, d, FUNDS).where("confidence >= 0.85").select("fund_id", F.col("committed").cast("double").alias("committed")), "fund_id")
     out = finance.calculated_field(facts.DPI_GAP, finance.multiples(sure.withColumn("nav", F.lit(0.0))).withColumn("target_dpi", F.lit(1.0)))
-    return out.select("fund_id", F.round(F.col("dpi_gap_to_one").cast("double"), 5).alias("dpi_gap_to_one"), "dpi_target_reached")
+    return out.select("fund_id", F.col("dpi_gap_to_one").cast("double").alias("dpi_gap_to_one"), "dpi_target_reached")
 
 
 VEHICLE = """
