@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,13 @@ def summary(checks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def row_checks(df: DataFrame, faults: dict[str, Column]) -> DataFrame:
+    """One row per check, as summary gives: conditions on single rows, all counted in one scan. A null is no fault."""
+    counts = df.agg(*[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(n) for n, c in faults.items()])
+    told = [F.struct(F.lit(n).alias("check_name"), F.coalesce(F.col(n), F.lit(0)).alias("n_faults")) for n in faults]
+    return counts.select(F.explode(F.array(*told)).alias("_check")).select("_check.check_name", "_check.n_faults")
+
+
 def vacuous(df: DataFrame, least: int = 1) -> DataFrame:
     """One row if df has fewer rows than its checks need to mean anything."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") < least)

@@ -24,6 +24,7 @@ from tessera.operators.relational import newest
 NAME_KEY = "normalised_name"
 #: Shares that the records of a type are dealt into where all its pairs are scored.
 TILES = 64
+ROWS_PER_FILE = 250_000
 
 
 def ranked_keys(candidates: DataFrame, entity: str, ranked: list[str]) -> DataFrame:
@@ -58,10 +59,10 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a table in the shared folder."""
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df cut from its lineage by a table in the shared folder, of that many files at most."""
     path = f"{shared_folder(df.sparkSession)}/er-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,15 +73,16 @@ def components(edges: DataFrame) -> DataFrame:
     end by themselves.
     """
     pairs = written(edges.select("record", "identifier").where("record is not null and identifier is not null").distinct())
-    labels = written(pairs.groupBy("record").agg(F.min("record").alias("label")))
+    files = max(1, -(-pairs.count() // ROWS_PER_FILE))  # rounds over few records cost little
+    labels = written(pairs.groupBy("record").agg(F.min("record").alias("label")), files)
     while True:
         by_id = pairs.join(labels, "record").groupBy("identifier").agg(F.min("label").alias("least"))
         near = pairs.join(by_id, "identifier").groupBy("record").agg(F.min("least").alias("least"))
-        own = written(labels.join(near, "record").select("record", F.col("label").alias("old"), F.least("label", "least").alias("l")))
+        own = written(labels.join(near, "record").select("record", F.col("label").alias("old"), F.least("label", "least").alias("l")), files)
         given = own.where("l < old").groupBy(F.col("old").alias("_root")).agg(F.min("l").alias("_given"))
-        hooked = written(own.join(given, own["record"] == given["_root"], "left").select("record", "old", F.least("l", "_given").alias("l")))
+        hooked = written(own.join(given, own["record"] == given["_root"], "left").select("record", "old", F.least("l", "_given").alias("l")), files)
         up = hooked.select(F.col("record").alias("_r"), F.col("l").alias("_l"))
-        step = written(hooked.join(up, hooked["l"] == up["_r"]).select("record", "old", F.least("l", "_l").alias("label")))
+        step = written(hooked.join(up, hooked["l"] == up["_r"]).select("record", "old", F.least("l", "_l").alias("label")), files)
         moved = step.where("label <> old").limit(1).count()
         labels = step.select("record", "label")
         if not moved:

@@ -844,12 +844,15 @@ def q55(spark, d):
       ('line_key_unique', (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)))) as v(check_name, n_faults)""")
 def q49(spark, d):
     c, o, li = t(spark, d, "customer"), t(spark, d, "orders"), t(spark, d, "lineitem")
-    return quality.summary({
+    groups = quality.summary({
         "customer_key_unique": quality.unique(c, "c_custkey"), "order_customer_exists": quality.relationships(o, "o_custkey", c, "c_custkey"),
-        "order_status_known": quality.accepted_values(o, "o_orderstatus", ["P", "F"]), "discount_in_range": quality.accepted_range(li, "l_discount", 0, 0.05),
-        "ship_date_known": quality.not_null(li, "l_shipdate"), "price_positive": quality.expression_is_true(li, "l_extendedprice > 1000"),
-        "line_key_unique": quality.unique(li, "l_orderkey", "l_linenumber"),
+        "order_status_known": quality.accepted_values(o, "o_orderstatus", ["P", "F"]), "line_key_unique": quality.unique(li, "l_orderkey", "l_linenumber"),
     })
+    lines = quality.row_checks(li, {
+        "discount_in_range": ~F.col("l_discount").between(0, 0.05), "ship_date_known": F.col("l_shipdate").isNull(),
+        "price_positive": ~F.coalesce(F.col("l_extendedprice") > 1000, F.lit(False)),
+    })
+    return groups.unionByName(lines)
 
 
 @query("q50_events_stream_rollup", """
