@@ -184,31 +184,36 @@ class Model:
     shift: float = 0.0
     floor: float = 0.0  # margin of a text without units
 
-    def _near(self, units: list[str], norm: np.ndarray) -> np.ndarray:
-        """Places of units whose kernel with some toxic landmark may reach NEAR."""
-        if not self.groups.shape[1]:
-            return np.zeros(0, np.int64)
-        table = self.groups.max(axis=1)
-        found = []
-        for some, code, weight in _coded(units, self.index.alphabet, DECAY):
+    def _near(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of units whose kernel with some toxic landmark may reach NEAR, and their norms. A norm is at least that
+        of the subsequences taken one by one, so most units are told off before their own norm is summed."""
+        found, norms = [np.zeros(0, np.int64)], [np.zeros(0)]
+        table = self.groups.max(axis=1) if self.groups.shape[1] else None
+        for some, code, weight in _coded(units, self.index.alphabet, DECAY) if table is not None else ():
             got = self.index.column[code]  # -1, the last row of groups, is zero
             weight = weight.astype(np.float32)
-            hot = np.flatnonzero(table[got] @ weight >= NEAR * norm[some])
+            raw = table[got] @ weight
+            hot = np.flatnonzero(raw >= NEAR * np.sqrt((weight * weight).sum()))
+            if not len(hot):
+                continue
+            norm = np.sqrt(self_kernel([units[i] for i in some[hot]]))
+            hot, norm = hot[raw[hot] >= NEAR * norm], norm[raw[hot] >= NEAR * norm]
             for at in range(0, len(hot), 1024):
-                part = hot[at : at + 1024]
+                part, own = hot[at : at + 1024], norm[at : at + 1024]
                 bound = np.zeros((len(part), self.groups.shape[1]), np.float32)
                 for t in range(len(weight)):
                     bound += weight[t] * self.groups[got[part, t]]
-                found.append(some[part[bound.max(axis=1) >= NEAR * norm[some[part]]]])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+                keep = bound.max(axis=1) >= NEAR * own
+                found.append(some[part[keep]])
+                norms.append(own[keep])
+        return np.concatenate(found), np.concatenate(norms)
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), FAR if len(self.beta) else 0.0)
         if units and len(self.beta):
-            norm = np.sqrt(self_kernel(units))
-            near = self._near(units, norm)
+            near, norm = self._near(units)
             if len(near):
-                k = self.index.kernel([units[i] for i in near]) / (norm[near][:, None] * self.norms[None, :])
+                k = self.index.kernel([units[i] for i in near]) / (norm[:, None] * self.norms[None, :])
                 out[near] = np.maximum(k, 0.0) ** POWER @ self.beta + self.bias
         return out
 
