@@ -13,7 +13,7 @@ def fit_dual(
     Solves the box-constrained dual one coordinate at a time in a shuffled order; the bias is a constant feature.
     An empty training set gives zero weights.
     """
-    w, bias = np.zeros(size), 0.0
+    w, bias = np.zeros(size, rows[0][1].dtype if rows else np.float64), 0.0  # sums in the kind of the values
     sign = np.where(labels > 0, 1.0, -1.0)
     norm = np.array([float(v @ v) + 1.0 for _, v in rows])
     alpha, rng = np.zeros(len(rows)), np.random.default_rng(seed)
@@ -26,7 +26,7 @@ def fit_dual(
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             if (step := (new - alpha[i]) * sign[i]) != 0.0:
                 alpha[i] = new
-                w[index] += step * value
+                w[index] += value * w.dtype.type(step)
                 bias += step
                 moved = max(moved, abs(step))
         if moved < 1e-4:

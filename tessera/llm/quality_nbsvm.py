@@ -38,8 +38,8 @@ from tessera.llm.linear_svm import fit_dual, fit_sigmoid, sigmoid
 WORD_SLOTS, FORM_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 18, 1 << 16
 BUCKETS = WORD_SLOTS + FORM_SLOTS + CHAR_SLOTS
 VIEWS = np.array([0, WORD_SLOTS, WORD_SLOTS + FORM_SLOTS, BUCKETS])
-MAX_LABELLED = 20_000
-MAX_SLOTS = 40_000_000
+MAX_LABELLED = 4_000
+MAX_SLOTS = 4_000_000
 LEAST = 3
 CACHE = 300_000
 _RUN = re.compile(r"a+|A+|0+|(.)\1{2,}")
@@ -113,7 +113,7 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, c: float, least: int) -> tu
     for slots in rows:
         weight = ratio[slots] * values(slots)
         some = np.flatnonzero(weight)
-        examples.append((slots[some], weight[some]))
+        examples.append((slots[some].astype(np.intp), weight[some]))
     cost = np.where(labels > 0, c * len(labels) / (2 * n_up), c * len(labels) / (2 * n_down))
     w, bias = fit_dual(examples, labels, BUCKETS, cost)
     return w * ratio, bias
