@@ -34,7 +34,7 @@ from tessera.llm.components import connected_components
 WORDS = 5
 THRESHOLD = 75  # hundredths
 COORDINATES, ROWS = 128, 4
-LEFT_BLOCK, RIGHT_BLOCK = 512, 512
+LEFT_BLOCK, RIGHT_BLOCK = 192, 192
 SALTS = 8
 CACHE = 300_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
