@@ -29,7 +29,6 @@ import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +127,8 @@ def one_pass(blocks: dict[str, int], units: dict[str, int]) -> Iterator[tuple[st
 
 def _written(spark: SparkSession, plan: Iterator[tuple[str, int]]) -> DataFrame:
     """The schedule as a table (_source, block, slot) in the shared folder, written in parts."""
+    import pandas as pd  # only where there are very many sources
+
     path, part, slot = f"{shared_dir(spark)}/schedule-{uuid.uuid4().hex}", [], 0
     schema = "_source string, block long, slot long"
 
