@@ -24,6 +24,8 @@ from tessera.operators.relational import newest
 NAME_KEY = "normalised_name"
 #: Shares that the records of a type are dealt into where all its pairs are scored.
 TILES = 64
+#: What pairs can reach at most, where the best counterpart is looked for band by band.
+BANDS = (0.9, 0.8, 0.65)
 ROWS_PER_FILE = 250_000
 
 
@@ -139,68 +141,134 @@ _COMPARED = ["entity_type", "source_system", "source_id", "name", "sector", "day
 _RECORD = ["entity_type", "source_system", "source_id"]
 
 
-def _best_of(left: DataFrame, right: DataFrame, on: Column, config: Scoring, same_source: bool) -> DataFrame:
-    """Best counterpart of every left record among the right ones that meet it."""
+def _score(met: DataFrame, similarity: Column, config: Scoring, same_source: bool, keys: list[str]) -> DataFrame:
+    """Scores of the pairs in met (columns l_ and r_), by keys of the left side; no pair of one source, or of one id."""
     apart = F.col("l_source_system") != F.col("r_source_system")
     if same_source:
         apart = apart | (F.col("l_source_id") != F.col("r_source_id"))
-    met = left.join(right, on & (F.col("l_entity_type") == F.col("r_entity_type")) & apart)
     score = composite_score([
-        (string_similarity(F.col("l_name"), F.col("r_name")), config.name),
+        (similarity, config.name),
         (categorical_match(F.col("l_sector"), F.col("r_sector")), config.sector),
         (date_proximity(F.col("l_day"), F.col("r_day"), config.days), config.date),
         (value_proximity(F.col("l_value"), F.col("r_value"), config.share), config.value),
     ])
-    scored = met.select(*[F.col(f"l_{c}").alias(c) for c in _RECORD], F.col("r_source_system").alias("matched_system"), F.col("r_source_id").alias("matched_id"), score.alias("score"))
-    return _first(scored.where("score is not null"))
+    scored = met.where(apart).select(*[F.col(f"l_{c}").alias(c) for c in keys], F.col("r_source_system").alias("matched_system"), F.col("r_source_id").alias("matched_id"), score.alias("score"))
+    return scored.where("score is not null")
 
 
-def _first(scored: DataFrame) -> DataFrame:
+def _first(scored: DataFrame, keys: list[str]) -> DataFrame:
     """The highest score, then the least system, then the least id: one aggregate instead of a window over all pairs."""
     best = F.min(F.struct((-F.col("score")).alias("s"), "matched_system", "matched_id")).alias("b")
-    return scored.groupBy(*_RECORD).agg(best).select(*_RECORD, "b.matched_system", "b.matched_id", (-F.col("b.s")).alias("score"))
+    return scored.groupBy(*keys).agg(best).select(*keys, "b.matched_system", "b.matched_id", (-F.col("b.s")).alias("score"))
+
+
+def _tiled(left: DataFrame, right: DataFrame, key: str, on: Column | None = None) -> DataFrame:
+    """All pairs of a type that meet ``on``, one share of the left side in a task, dealt by the key."""
+    dealt = left.withColumn("l_tile", F.pmod(F.xxhash64(key), F.lit(TILES)).cast("int")).repartition(TILES, "l_tile", "l_entity_type")
+    every = right.withColumn("r_tile", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1)))).repartition(TILES, "r_tile", "r_entity_type")
+    met = (F.col("l_tile") == F.col("r_tile")) & (F.col("l_entity_type") == F.col("r_entity_type"))
+    return dealt.join(every, met if on is None else met & on)
+
+
+def _letters(name: str) -> Column:
+    """The characters of a name as a set of 64 bits, of which an edit changes two at most."""
+    bits = F.transform(F.split(name, ""), lambda c: F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def candidate_pairs(pending: DataFrame, config: Scoring, same_source: bool = False) -> DataFrame:
     """Best counterpart of every pending record: entity_type, source_system, source_id, name, sector, day, value.
 
     Pairs are of one type and different sources (or different ids where ``same_source``). The result is that of scoring
-    every pair of a type, but pairs that can't win are not made: records meet those of equal name and sector first, then
-    those of their sector, then all others of their type, and a record goes on only while its best score so far doesn't
-    exceed what the pairs left could reach. Names that differ cost at least one edit, so a pair loses the name's weight
-    over the longer length; another sector loses the sector's weight. Missing parts only lower these bounds.
+    every pair of a type, but pairs that can't win are not made. Records alike in all that is scored are compared as one.
+    They meet those of equal name, sector and day first, then of equal name and sector; then names are compared, each
+    distinct one once, and their records meet in bands of what a pair can reach at most: a name loses its weight by the
+    share of letters to be edited, another sector loses the sector's weight. A record goes on only while its best score so
+    far doesn't exceed that. A missing value, or day beside a known one, only lowers these bounds; records without a name,
+    sector or day meet all others of their type.
 
     ``blocks`` are expressions that a pair must share one of; with these, only such pairs are scored.
     """
-    left = pending.select(*[F.col(c).alias(f"l_{c}") for c in _COMPARED])
-    right = pending.select(*[F.col(c).alias(f"r_{c}") for c in _COMPARED])
     if config.blocks:
         keys = F.array_distinct(F.array_compact(F.array(*[F.expr(b).cast("string") for b in config.blocks])))
         marked = pending.withColumn("block", F.explode(keys))
         left, right = (marked.select(*[F.col(c).alias(f"{p}_{c}") for c in _COMPARED], F.col("block").alias(f"{p}_block")) for p in "lr")
-        return _best_of(left, right, F.col("l_block") == F.col("r_block"), config, same_source)
+        met = left.join(right, (F.col("l_block") == F.col("r_block")) & (F.col("l_entity_type") == F.col("r_entity_type")))
+        return _first(_score(met, string_similarity(F.col("l_name"), F.col("r_name")), config, same_source, _RECORD), _RECORD)
+
+    rows = pending.select(*_COMPARED)
+    alike = [c for c in _COMPARED if same_source or c != "source_id"]
+    least = rows.distinct() if same_source else rows.groupBy(*alike).agg(F.min(F.struct("source_id")).alias("_least")).select("*", "_least.source_id").drop("_least")
+    profiles = written(least.withColumn("profile", F.monotonically_increasing_id()))
+    keyed = profiles.withColumn("kind", F.upper(F.trim("sector"))).withColumn("date", F.col("day").cast("date"))
+    keyed = keyed.withColumn("blank", F.col("name").isNull() | F.col("kind").isNull() | F.col("date").isNull())
+    left, right = (keyed.select(*[F.col(c).alias(f"{p}_{c}") for c in keyed.columns]) for p in "lr")
+    blanks = keyed.where("blank").limit(1).count()
 
     total = config.name + config.sector + config.date + config.value
+    other_day = 1 - config.date / total / config.days
     other_sector = 1 - config.sector / total
-    other_name = F.greatest(1 - F.lit(config.name / total) / (F.coalesce(F.length("l_name"), F.lit(0)) + 1), F.lit(other_sector))
+    other_name = F.greatest(1 - F.lit(config.name / total) / (F.length("l_name") + 1), F.lit(other_sector))
+
+    def best_of(met: DataFrame, similarity: Column) -> DataFrame:
+        return _first(_score(met, similarity, config, same_source, ["profile"]), ["profile"])
+
+    def reaches(bound: Column) -> Column:
+        return F.col("score").isNull() | (F.col("score") <= bound + 1e-9)
+
+    def within(bound: Column, upper: float | None, lower: float) -> Column:
+        inside = reaches(bound) & (bound >= lower)
+        return inside if upper is None else inside & (bound < upper)
 
     def undecided(best: DataFrame, bound: Column) -> DataFrame:
-        """Left records whose best score the pairs left might still reach."""
-        held = best.select(*[F.col(c).alias(f"l_{c}") for c in _RECORD], "score")
-        keys = [f"l_{c}" for c in _RECORD]
-        return left.join(held, keys, "left").where(F.col("score").isNull() | (F.col("score") <= bound + 1e-9)).select(left.columns)
-
-    def sector(side: str) -> Column:
-        return F.upper(F.trim(f"{side}_sector"))
-
-    same_sector = sector("l") == sector("r")
-    best = written(_best_of(left, right, (F.col("l_name") == F.col("r_name")) & same_sector, config, same_source))
-    best = written(_first(best.unionByName(_best_of(undecided(best, other_name), right, same_sector, config, same_source))))
-    # what is left meets its whole type, one share of the left side in a task
-    dealt = undecided(best, F.lit(other_sector)).withColumn("l_tile", F.pmod(F.xxhash64("l_source_system", "l_source_id"), F.lit(TILES)).cast("int"))
-    tiled = right.withColumn("r_tile", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
-    far = ~F.coalesce(same_sector, F.lit(False))
-    return _first(best.unionByName(_best_of(dealt, tiled, (F.col("l_tile") == F.col("r_tile")) & far, config, same_source)))
+        """Left records, with their best score, that the pairs left might still reach."""
+        held = best.select(F.col("profile").alias("l_profile"), F.when(~F.isnan("score"), F.col("score")).alias("score"))
+        return left.where("not l_blank").join(held, "l_profile", "left").where(reaches(bound))
+
+    def equal(*columns: str) -> Column:
+        on = F.col("l_entity_type") == F.col("r_entity_type")
+        for c in columns:
+            on = on & (F.col(f"l_{c}") == F.col(f"r_{c}"))
+        return on
+
+    known = right.where("not r_blank")
+    best = best_of(left.where("not l_blank").join(known, equal("name", "kind", "date")), F.lit(1.0))
+    if blanks:
+        similarity = string_similarity(F.col("l_name"), F.col("r_name"))
+        blank = _tiled(left.where("l_blank"), right, "l_profile").unionByName(_tiled(left.where("not l_blank"), right.where("r_blank"), "l_profile"))
+        best = _first(best.unionByName(best_of(blank, similarity)), ["profile"])
+    best = written(best)
+    rest = undecided(best, F.lit(other_day)).drop("score")
+    met = rest.join(known, equal("name", "kind") & (F.col("l_date") != F.col("r_date")))
+    best = written(_first(best.unionByName(best_of(met, F.lit(1.0))), ["profile"]))
+
+    names = written(known.select("r_entity_type", "r_name").distinct().withColumn("r_letters", _letters("r_name")))
+    for upper, lower in zip([None, *BANDS], [*BANDS, -1.0]):
+        rest = written(undecided(best, other_name if upper is None else F.lit(upper)))
+        if not rest.limit(1).count():
+            break
+        wanted = rest.groupBy("l_entity_type", "l_name").agg(F.min(F.coalesce("score", F.lit(0.0))).alias("_held")).withColumn("l_letters", _letters("l_name"))
+        longest = F.greatest(F.length("l_name"), F.length("r_name"), F.lit(1))
+        room = ((1 - F.greatest("_held", F.lit(lower))) * total + 1e-9) * longest
+        few = F.greatest(F.abs(F.length("l_name") - F.length("r_name")), F.bit_count(F.col("l_letters").bitwiseXOR(F.col("r_letters"))) / 2)
+        near = _tiled(wanted, names, "l_name", config.name * few <= room)
+        near = near.withColumn("_edits", F.levenshtein("l_name", "r_name")).where(config.name * F.col("_edits") <= room)
+        near = near.select("l_entity_type", "l_name", F.col("r_name").alias("_name"), "_edits", (1.0 - F.col("_edits") / longest).alias("_similarity"))
+        bound = 1 - config.name / total * (1 - F.col("_similarity"))
+        held = rest.join(near, ["l_entity_type", "l_name"])
+
+        on = equal() & (F.col("_name") == F.col("r_name"))
+        met = held.where(within(bound, upper, lower) & (F.col("_edits") > 0)).drop("score").join(known, on & equal("kind"))
+        if other_sector >= lower - 1e-9:
+            far = held.where(within(bound - config.sector / total, upper, lower)).drop("score")
+            met = met.unionByName(far.join(known, on & (F.col("l_kind") != F.col("r_kind"))))
+        best = written(_first(best.unionByName(best_of(met, F.col("_similarity"))), ["profile"]))
+
+    won = profiles.join(best, "profile").select(*[F.col(c).alias(f"_{c}") for c in alike], "matched_system", "matched_id", "score")
+    on = F.lit(True)
+    for c in alike:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return _first(rows.join(won, on), _RECORD)
 
 
 def route(pending: DataFrame, pairs: DataFrame, config: Scoring) -> DataFrame:

@@ -247,6 +247,39 @@ def test_scoring_reaches_every_part(spark, tmp_path):
     assert routes == {k: "auto" if x > 0.85 else "review" if x >= 0.65 else "reject" for k, x in best.items()}
 
 
+def odd_records(spark, n):
+    """Records of two types and three systems with copies, near names, other cases, missing parts and values of zero."""
+    kinds, words = ["X", " x ", "Y", "Z", None], ["hot bolt", "hot bolts", "cold bolt", "old rod", "HOT BOLT", "", "r\u00f6d", None]
+    rows = []
+    for i in range(n):
+        k = (i * 7919 + i // 3) % 104729
+        name = words[k % 8] if k % 41 == 0 else f"{words[k % 5]} {k % 13}"
+        rows.append((
+            "tu"[i % 9 == 0], f"s{k % 3}", f"r{i}", name, kinds[4 if k % 37 == 0 else k % 4],
+            None if k % 43 == 0 else dt.date(2020, 1, 1) + dt.timedelta(days=k % 29 * 20), None if k % 11 == 0 else float(k % 17 * 5),
+        ))
+    rows += [("v", "s0", "lone", "x", "X", dt.date(2020, 1, 1), 1.0), ("t", "s1", "r0", "another row of r0", "Q", dt.date(2021, 1, 1), 9.0)]
+    return spark.createDataFrame(rows, "entity_type string, source_system string, source_id string, name string, sector string, day date, value double")
+
+
+@pytest.mark.parametrize(("same_source", "weights"), [(False, {}), (True, {}), (False, {"name": 0.0, "value": 0.5}), (False, {"sector": 0.0, "date": 0.0})])
+def test_bounds_lose_no_best_pair(spark, same_source, weights):
+    df = odd_records(spark, 220)
+    every = resolution.candidate_pairs(df, resolution.Scoring(blocks=["'all'"], **weights), same_source).collect()
+    got = resolution.candidate_pairs(df, resolution.Scoring(**weights), same_source).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, every))
+
+
+def test_few_of_all_pairs_are_scored(spark, tmp_path, monkeypatch):
+    rows = [(k, f"{'hot old cold blue'.split()[k * k % 67 % 4]} {'bolt rod ring gear'.split()[k * k % 71 % 4]}", "B", f"T{k * k % 73 % 3}", 900.0 + k % 1000 / 10) for k in range(1500)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "part.parquet"))
+    first, made = resolution._first, []
+    monkeypatch.setattr(resolution, "_first", lambda scored, *a: (made.append(scored.count()), first(scored, *a))[1])
+    assert queries.QUERIES["q07_er_candidate_scores"](spark, str(tmp_path)).count() == 1500
+    assert sum(made) < 1500 * 1000 / 10
+
+
 def test_vault_twice_is_noop(spark, tmp_path):
     raw = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), (None, "z", 1)], "k string, v string, at int")
     rows = vault.stage(raw, {"hk": ["k"]}, ["v"], "src", F.lit("2024-01-01").cast("timestamp"))
