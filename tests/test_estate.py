@@ -280,6 +280,14 @@ def test_few_of_all_pairs_are_scored(spark, tmp_path, monkeypatch):
     assert sum(made) < 1500 * 1000 / 10
 
 
+def test_routing_sees_counterparts_without_a_name(spark):
+    day, schema = dt.date(2020, 1, 1), "entity_type string, source_system string, source_id int, name string, sector string, day date, value double"
+    rows = [("t", "a", 1, "b", "x", day, 1.0), ("t", "b", 2, "b", "x", day + dt.timedelta(days=200), 0.86), ("t", "c", 3, None, "x", day, 1.0), ("t", "a", 4, "rod", "y", day, 9.0)]
+    df = spark.createDataFrame(rows, schema)
+    got = resolution.route(df, resolution.candidate_pairs(df, resolution.Scoring()), resolution.Scoring()).collect()
+    assert {r["source_id"]: (r["matched_id"], r["route"]) for r in got} == {1: (3, "auto"), 2: (1, "review"), 3: (1, "auto"), 4: (3, "reject")}
+
+
 def test_vault_twice_is_noop(spark, tmp_path):
     raw = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), (None, "z", 1)], "k string, v string, at int")
     rows = vault.stage(raw, {"hk": ["k"]}, ["v"], "src", F.lit("2024-01-01").cast("timestamp"))
