@@ -171,9 +171,25 @@ def _tiled(left: DataFrame, right: DataFrame, key: str, on: Column | None = None
 
 
 def _letters(name: str) -> Column:
-    """The characters of a name as a set of 64 bits, of which an edit changes two at most."""
-    bits = F.transform(F.split(name, ""), lambda c: F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    """The characters of a name, each with how often it came before, as a set of 128 bits in two numbers.
+
+    Replacing a character changes two of these bits at most, adding or removing one changes one.
+    """
+    chars = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
+    bits = F.transform(chars, lambda c, i: F.pmod(F.ascii(c) + (i + 1 - F.array_position(chars, c)) * 53, F.lit(128)).cast("int"))
+
+    def added(half: Column, bit: Column, inside: Column) -> Column:
+        return F.when(inside, half.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64))).otherwise(half)
+
+    none = F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
+    return F.aggregate(bits, none, lambda a, bit: F.struct(added(a["low"], bit, bit < 64).alias("low"), added(a["high"], bit, bit >= 64).alias("high")))
+
+
+def _least_edits() -> Column:
+    """How many edits lie between two names at least, by their lengths and letters: each changes the length by one and one bit, or two bits."""
+    longer = F.abs(F.col("l_length") - F.col("r_length"))
+    low, high = (F.bit_count(F.col(f"l_letters.{half}").bitwiseXOR(F.col(f"r_letters.{half}"))) for half in ("low", "high"))
+    return F.greatest(longer, (low + high + longer) / 2)
 
 
 def candidate_pairs(pending: DataFrame, config: Scoring, same_source: bool = False) -> DataFrame:
@@ -242,18 +258,23 @@ def candidate_pairs(pending: DataFrame, config: Scoring, same_source: bool = Fal
     met = rest.join(known, equal("name", "kind") & (F.col("l_date") != F.col("r_date")))
     best = written(_first(best.unionByName(best_of(met, F.lit(1.0))), ["profile"]))
 
-    names = written(known.select("r_entity_type", "r_name").distinct().withColumn("r_letters", _letters("r_name")))
+    names = known.select("r_entity_type", "r_name").distinct().repartition(TILES, "r_name")
+    names = written(names.withColumn("r_length", F.length("r_name")).withColumn("r_letters", _letters("r_name")))
+    measured = names.select(*[F.col(c).alias(c.replace("r_", "l_", 1)) for c in names.columns])
     for upper, lower in zip([None, *BANDS], [*BANDS, -1.0]):
         rest = written(undecided(best, other_name if upper is None else F.lit(upper)))
         if not rest.limit(1).count():
             break
-        wanted = rest.groupBy("l_entity_type", "l_name").agg(F.min(F.coalesce("score", F.lit(0.0))).alias("_held")).withColumn("l_letters", _letters("l_name"))
-        longest = F.greatest(F.length("l_name"), F.length("r_name"), F.lit(1))
-        room = ((1 - F.greatest("_held", F.lit(lower))) * total + 1e-9) * longest
-        few = F.greatest(F.abs(F.length("l_name") - F.length("r_name")), F.bit_count(F.col("l_letters").bitwiseXOR(F.col("r_letters"))) / 2)
-        near = _tiled(wanted, names, "l_name", config.name * few <= room)
-        near = near.withColumn("_edits", F.levenshtein("l_name", "r_name")).where(config.name * F.col("_edits") <= room)
+        share = (1 - F.greatest(F.min(F.coalesce("score", F.lit(0.0))), F.lit(lower))) * total + 1e-9
+        wanted = rest.groupBy("l_entity_type", "l_name").agg(share.alias("_share")).join(measured, ["l_entity_type", "l_name"])
+        longest = F.greatest("l_length", "r_length", F.lit(1))
+        room = F.col("_share") * longest
+        may = config.name * _least_edits() <= room
+        near = _tiled(wanted, names, "l_name", may)
+        # The conditions end up in one join, in any order: without F.when every two names would be compared letter by letter.
+        near = near.withColumn("_edits", F.when(may, F.levenshtein("l_name", "r_name"))).where(config.name * F.col("_edits") <= room)
         near = near.select("l_entity_type", "l_name", F.col("r_name").alias("_name"), "_edits", (1.0 - F.col("_edits") / longest).alias("_similarity"))
+        near = written(near)  # compared once for both joins below, in code small enough to be compiled
         bound = 1 - config.name / total * (1 - F.col("_similarity"))
         held = rest.join(near, ["l_entity_type", "l_name"])
 

@@ -270,6 +270,27 @@ def test_bounds_lose_no_best_pair(spark, same_source, weights):
     assert sorted(map(tuple, got)) == sorted(map(tuple, every))
 
 
+def test_far_names_are_not_compared(spark, monkeypatch):
+    """Names whose lengths already rule a pair out never meet letter by letter, in whatever order a join checks its conditions."""
+    edits = F.levenshtein
+    far = lambda a, b: F.abs(F.length(a) - F.length(b)) > 10
+    monkeypatch.setattr(F, "levenshtein", lambda a, b: F.when(far(a, b), F.raise_error(F.lit("far names compared")).cast("int")).otherwise(edits(a, b)))
+    rows = [("t", f"s{i % 2}", i, f"{['bolt', 'a much longer name of a ring'][i // 2 % 2]} {i % 2}", "x", dt.date(2020, 1, 1), 1.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "entity_type string, source_system string, source_id int, name string, sector string, day date, value double")
+    got = {r["source_id"]: r["matched_id"] for r in resolution.candidate_pairs(df, resolution.Scoring()).collect()}
+    assert got == {0: 1, 1: 0, 2: 3, 3: 2, 4: 1, 5: 0, 6: 3, 7: 2}
+
+
+def test_letters_bound_edits(spark):
+    words = ["", "a", "aa", "aaa", "ab", "ba", "abba", "bolt 17", "bolt 71", "BOLT 17", "r\u00f6d", "rod", "rods", "old rod", "\U0001f600 rod", "zzzzzzzzzz"]
+    left, right = (
+        spark.createDataFrame([(w,) for w in words], f"{p}_name string").withColumn(f"{p}_length", F.length(f"{p}_name")).withColumn(f"{p}_letters", resolution._letters(f"{p}_name"))
+        for p in "lr"
+    )
+    met = left.crossJoin(right).select(resolution._least_edits().alias("least"), F.levenshtein("l_name", "r_name").alias("edits")).collect()
+    assert all(r["least"] <= r["edits"] for r in met) and sum(r["least"] for r in met) > 0.7 * sum(r["edits"] for r in met)
+
+
 def test_few_of_all_pairs_are_scored(spark, tmp_path, monkeypatch):
     rows = [(k, f"{'hot old cold blue'.split()[k * k % 67 % 4]} {'bolt rod ring gear'.split()[k * k % 71 % 4]}", "B", f"T{k * k % 73 % 3}", 900.0 + k % 1000 / 10) for k in range(1500)]
     schema = "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double"
